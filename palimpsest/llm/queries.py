@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe
+from palimpsest.llm import bpe, minhash
 from palimpsest.llm.common import table
 
 
@@ -17,8 +17,14 @@ def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.encode(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents on sets of two-word shingles."""
+    return minhash.groups(table(spark, sf_dir, "documents"), width=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op4_minhash": op4_minhash,
 }
 
 ORACLES: dict[str, str] = {}
