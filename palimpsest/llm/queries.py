@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, minhash
+from palimpsest.llm import bpe, minhash, quality_rules, sharding, url_filter
 from palimpsest.llm.common import table
 
 
@@ -22,9 +22,31 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(table(spark, sf_dir, "documents"), width=2)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes; equal texts stay together."""
+    return sharding.shards(table(spark, sf_dir, "documents"), bins=8)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdicts of the threshold table on every whole text."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and verdict of every page's url."""
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_minhash": op4_minhash,
+    "op5_sharding": op5_sharding,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_url_filter": op9_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_quality_rules": quality_rules.sql(),
+    "op9_url_filter": url_filter.SQL,
+}
