@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, minhash, quality_rules, sharding, url_filter
+from palimpsest.llm import bpe, decontam, minhash, quality_rules, sharding, url_filter
 from palimpsest.llm.common import table
 
 
@@ -38,12 +38,18 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that every document holds, within one edit for 16 characters."""
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_minhash": op4_minhash,
     "op5_sharding": op5_sharding,
     "op7_quality_rules": op7_quality_rules,
     "op9_url_filter": op9_url_filter,
+    "op10_decontam": op10_decontam,
 }
 
 ORACLES: dict[str, str] = {
