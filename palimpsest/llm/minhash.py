@@ -9,13 +9,15 @@ documents that share a band are compared, on their full shingle sets.
    form a class; a class is compared once, whatever number of copies it has.
 2. In each bucket all classes are compared with the bucket's smallest: as many
    pairs as members. Confirmed links give components.
-3. Classes of a bucket that are still in different components are compared with
-   each other, save those of the bucket's largest component among themselves. So
-   a link between different texts that share a band is never lost, and a large
-   group of near copies costs no quadratic number of pairs.
+3. Classes that are not in the largest component of their bucket are compared
+   with a few members of that component, so that a large group of near copies
+   joins at a cost in proportion to its size.
+4. Classes of a bucket that are still in different components are all compared
+   with each other, each pair once. So no link between different texts that share
+   a band is lost; members of one component need no comparison.
 
-With 4 values a band and 36 bands a pair of similarity 0.8 shares no band with
-probability (1 - 0.8^4)^36 < 1e-8. There are no caps on buckets or partners.
+With 6 values a band and 48 bands a pair of similarity 0.8 shares no band with
+probability (1 - 0.8^6)^48 < 5e-7. There are no caps on buckets or partners.
 
 Rows: a null or wordless text has an empty set and is linked with nothing; rows
 with one doc_id are rows of their own; a null doc_id never becomes a
@@ -36,7 +38,9 @@ from palimpsest.llm.bpe import chunks
 from palimpsest.llm.common import map_batches, materialise, sized
 from palimpsest.llm.components import components
 
-BANDS, ROWS = 36, 4
+BANDS, ROWS = 48, 6
+#: Before the last step, so often each class that is left is compared with so many of the main component's.
+TURNS, CENTRES = 2, 16
 #: Similarity in hundredths.
 PERCENT = 80
 CACHE_WORDS = 300_000
@@ -88,10 +92,10 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     flat = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     values = np.empty((2 * len(times), len(sets)), U)
+    turned = np.empty_like(flat)
     for i, (t, p) in enumerate(zip(times, plus, strict=True)):
-        turned = flat * t + p
-        turned ^= turned >> U(32)
-        turned *= U(0x9E3779B97F4A7C15)
+        np.multiply(flat, t, out=turned)
+        turned += p
         values[2 * i] = np.minimum.reduceat(turned, starts)
         values[2 * i + 1] = np.maximum.reduceat(turned, starts)
     # the minimum and the maximum of one permutation go to different bands
@@ -168,6 +172,14 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(full.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def unsettled(member: DataFrame, found: DataFrame) -> DataFrame:
+    """key, c, n, g (component), main (component with most classes of the bucket) and k (size): the members of buckets with two components or more."""
+    placed = member.join(found.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("component", "c").alias("g"))
+    per_group = placed.groupBy("key", "g").agg(F.count("*").alias("k"))
+    largest = per_group.groupBy("key").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k"))
+    return placed.join(largest.where("groups > 1").drop("groups"), "key")
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs (doc_id, text)."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -187,17 +199,29 @@ def groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int =
     texts = slim.join(sized(names), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = materialise(full_sets(texts, width).where("c is not null").groupBy("c").agg(F.min("s").alias("s")))
     links = materialise(confirm(pairs, sets, percent))
-    found = components(links)
-    placed = member.join(found.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("component", "c").alias("g"))
-    per_group = placed.groupBy("key", "g").agg(F.count("*").alias("k"))
-    largest = per_group.groupBy("key").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    open_ = placed.join(largest, "key")
-    left = open_.where("g <> main").select("key", F.col("c").alias("a"), F.col("g").alias("g_a"), F.col("n").alias("n_a"))
-    right = open_.select("key", F.col("c").alias("b"), F.col("g").alias("g_b"), F.col("n").alias("n_b"))
-    more = left.join(right, "key").where((F.col("g_a") != F.col("g_b")) & near(F.col("n_a"), F.col("n_b")))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.union(confirm(more, sets, percent))
-    found = components(links)
+    found = materialise(components(links))
+    for turn in range(TURNS):
+        open_ = unsettled(member, found)
+        order = Window.partitionBy("key").orderBy(F.xxhash64("c", F.lit(turn)), "c")
+        centres = open_.where("g = main").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTRES)
+        centres = centres.select("key", F.col("c").alias("m"), F.col("n").alias("n_m"))
+        own = open_.where("g <> main").groupBy("c", "n").agg(F.max_by("key", F.struct("k", "key")).alias("key"))
+        pairs = own.join(centres, "key").where(near(F.col("n"), F.col("n_m")))
+        fresh = materialise(confirm(pairs.select(F.col("m").alias("a"), F.col("c").alias("b")), sets, percent))
+        if fresh.isEmpty():
+            break
+        links = links.union(fresh)
+        found = materialise(components(links))
+    open_ = materialise(unsettled(member, found).join(classes.select("c", "bands"), "c"))
+    left = open_.where("g <> main").select(*(F.col(x).alias(f"{x}_a") for x in ("key", "c", "g", "n", "main", "bands")))
+    right = open_.select("key", *(F.col(x).alias(f"{x}_b") for x in ("c", "g", "n", "bands")))
+    different = (F.col("g_a") != F.col("g_b")) & ((F.col("c_a") < F.col("c_b")) | (F.col("g_b") == F.col("main_a")))
+    first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("key_a")  # each pair in one bucket only
+    more = left.join(right, (F.col("key_a") == F.col("key")) & different & near(F.col("n_a"), F.col("n_b")) & first)
+    more = confirm(more.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), sets, percent)
+    fresh = materialise(more)
+    if not fresh.isEmpty():
+        found = components(links.union(fresh))
     of_class = classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "d2", "name", F.coalesce("component", "c").alias("component"))
     names = of_class.groupBy("component").agg(F.min("name").alias("component_id"))
     named = of_class.join(names, "component").select(F.col("c").alias("d1"), "d2", "component_id")
