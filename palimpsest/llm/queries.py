@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, decontam, minhash, quality_rules, sharding, url_filter
+from palimpsest.llm import bpe, decontam, minhash, quality_rules, sharding, toxicity, url_filter
 from palimpsest.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), bins=8)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every whole text."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdicts of the threshold table on every whole text."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op4_minhash": op4_minhash,
     "op5_sharding": op5_sharding,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_decontam": op10_decontam,
