@@ -14,7 +14,8 @@ documents that share a band are compared, on their full shingle sets.
    joins at a cost in proportion to its size.
 4. Classes of a bucket that are still in different components are all compared
    with each other, each pair once. So no link between different texts that share
-   a band is lost; members of one component need no comparison.
+   a band is lost; members of one component need no comparison. In a bucket of
+   more than BLOCK classes this is done for blocks of classes, not for rows of pairs.
 
 With 6 values a band and 48 bands a pair of similarity 0.8 shares no band with
 probability (1 - 0.8^6)^48 < 5e-7. There are no caps on buckets or partners.
@@ -31,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import chunks
@@ -41,6 +42,8 @@ from palimpsest.llm.components import components
 BANDS, ROWS = 48, 6
 #: Before the last step, so often each class that is left is compared with so many of the main component's.
 TURNS, CENTRES = 2, 16
+#: Classes of a block; buckets up to this size are joined pair by pair.
+BLOCK = 64
 #: Similarity in hundredths.
 PERCENT = 80
 CACHE_WORDS = 300_000
@@ -172,11 +175,76 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(full.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def parts_of(count: Column) -> Column:
+    return F.ceil(count / BLOCK).cast("int")
+
+
+def part(count: Column) -> Column:
+    """The block of class c among those of ``count`` classes."""
+    return F.pmod(F.xxhash64("c", F.lit(7)), parts_of(count)).cast("int")
+
+
+def blockwise(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Links (a, b) between classes of ``left`` and ``right`` with equal key, of different components.
+
+    Both have key, x and y (a pair of blocks), c, g and bands. A pair of blocks is a
+    group of some BLOCK rows a side, held in memory by one task at a time; it
+    returns no more links than join its components. If ``first``, a pair counts only
+    in the bucket of the first band that it shares.
+    """
+    columns = ["key", "x", "y", "side", "c", "g", "bands"]
+    both = left.withColumn("side", F.lit(0)).select(columns).union(right.withColumn("side", F.lit(1)).select(columns))
+    dealt = both.join(sets, "c").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "c").select(*columns, "s")
+
+    def links(key: int, sides: tuple[list, list]) -> Iterator[tuple[int, int]]:
+        parent: dict[int, int] = {}
+
+        def root(g: int) -> int:
+            while (up := parent.get(g, g)) != g:
+                g = up
+            return g
+
+        if not sides[0] or not sides[1]:
+            return
+        bands = np.array([r[2] for r in sides[1]], np.int64)
+        for c, g, own, s in sides[0]:
+            shared = bands == np.array(own, np.int64)
+            fits = np.flatnonzero(bands[np.arange(len(bands)), shared.argmax(1)] == key) if first else np.arange(len(bands))
+            for j in fits[shared[fits].any(1)] if first else fits:
+                d, h, _, t = sides[1][j]
+                small, large = sorted((len(s), len(t)))
+                if root(g) != root(h) and 100 * small >= percent * large:
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (small + large - both):
+                        parent[root(g)] = root(h)
+                        yield min(c, d), max(c, d)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sides = None, ([], [])
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for key, x, y, side, c, g, own, s in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if (key, x, y) != at:
+                    if at:
+                        out += links(at[0], sides)
+                    at, sides = (key, x, y), ([], [])
+                sides[side].append((c, g, own, np.frombuffer(s, U)))
+            yield pairs_batch(out)
+        if at:
+            yield pairs_batch(list(links(at[0], sides)))
+
+    return map_batches(dealt, run, "a long, b long")
+
+
+def pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
 def unsettled(member: DataFrame, found: DataFrame) -> DataFrame:
-    """key, c, n, g (component), main (component with most classes of the bucket) and k (size): the members of buckets with two components or more."""
+    """key, c, n, g (component), main (component with most classes of the bucket), k (size) and k_out (classes outside main): the members of buckets with two components or more."""
     placed = member.join(found.withColumnRenamed("node", "c"), "c", "left").select("key", "c", "n", F.coalesce("component", "c").alias("g"))
     per_group = placed.groupBy("key", "g").agg(F.count("*").alias("k"))
-    largest = per_group.groupBy("key").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k"))
+    largest = per_group.groupBy("key").agg(F.max_by("g", F.struct("k", "g")).alias("main"), F.count("*").alias("groups"), F.sum("k").alias("k"), (F.sum("k") - F.max("k")).alias("k_out"))
     return placed.join(largest.where("groups > 1").drop("groups"), "key")
 
 
@@ -200,26 +268,34 @@ def groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int =
     sets = materialise(full_sets(texts, width).where("c is not null").groupBy("c").agg(F.min("s").alias("s")))
     links = materialise(confirm(pairs, sets, percent))
     found = materialise(components(links))
+    bands_of = classes.select("c", "bands")
     for turn in range(TURNS):
         open_ = unsettled(member, found)
         order = Window.partitionBy("key").orderBy(F.xxhash64("c", F.lit(turn)), "c")
         centres = open_.where("g = main").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CENTRES)
-        centres = centres.select("key", F.col("c").alias("m"), F.col("n").alias("n_m"))
-        own = open_.where("g <> main").groupBy("c", "n").agg(F.max_by("key", F.struct("k", "key")).alias("key"))
-        pairs = own.join(centres, "key").where(near(F.col("n"), F.col("n_m")))
-        fresh = materialise(confirm(pairs.select(F.col("m").alias("a"), F.col("c").alias("b")), sets, percent))
+        own = open_.where("g <> main").groupBy("c", "g").agg(F.max_by(F.struct("key", "k_out"), F.struct("k", "key")).alias("to"))
+        own = own.select("to.key", part(F.col("to.k_out")).alias("x"), F.lit(0).alias("y"), "c", "g").join(bands_of, "c")
+        centres = centres.join(own.select("key").distinct(), "key", "left_semi").join(bands_of, "c")
+        centres = centres.withColumn("x", F.explode(F.sequence(F.lit(0), parts_of(F.col("k_out")) - 1))).withColumn("y", F.lit(0))
+        fresh = materialise(blockwise(own, centres, sets, percent, first=False))
         if fresh.isEmpty():
             break
         links = links.union(fresh)
         found = materialise(components(links))
-    open_ = materialise(unsettled(member, found).join(classes.select("c", "bands"), "c"))
-    left = open_.where("g <> main").select(*(F.col(x).alias(f"{x}_a") for x in ("key", "c", "g", "n", "main", "bands")))
-    right = open_.select("key", *(F.col(x).alias(f"{x}_b") for x in ("c", "g", "n", "bands")))
+    open_ = materialise(unsettled(member, found).join(bands_of, "c"))
+    # small buckets: at most BLOCK partners for a class
+    names = ("key", "c", "g", "n", "main", "bands")
+    left = open_.where(f"k <= {BLOCK} and g <> main").select(*(F.col(x).alias(f"{x}_a") for x in names))
+    right = open_.where(f"k <= {BLOCK}").select("key", *(F.col(x).alias(f"{x}_b") for x in ("c", "g", "n", "bands")))
     different = (F.col("g_a") != F.col("g_b")) & ((F.col("c_a") < F.col("c_b")) | (F.col("g_b") == F.col("main_a")))
     first = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("key_a")  # each pair in one bucket only
-    more = left.join(right, (F.col("key_a") == F.col("key")) & different & near(F.col("n_a"), F.col("n_b")) & first)
-    more = confirm(more.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), sets, percent)
-    fresh = materialise(more)
+    few = left.join(right, (F.col("key_a") == F.col("key")) & different & near(F.col("n_a"), F.col("n_b")) & first)
+    few = confirm(few.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), sets, percent)
+    # large ones: block by block
+    large = open_.where(f"k > {BLOCK}").withColumn("w", part(F.col("k"))).withColumn("v", part(F.col("k_out")))
+    left = large.where("g <> main").select("key", F.col("v").alias("x"), F.explode(F.sequence(F.lit(0), parts_of(F.col("k")) - 1)).alias("y"), "c", "g", "bands")
+    right = large.select("key", F.explode(F.sequence(F.lit(0), parts_of(F.col("k_out")) - 1)).alias("x"), F.col("w").alias("y"), "c", "g", "bands")
+    fresh = materialise(few.union(blockwise(left, right, sets, percent, first=True)))
     if not fresh.isEmpty():
         found = components(links.union(fresh))
     of_class = classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "d2", "name", F.coalesce("component", "c").alias("component"))
