@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import bpe, decontam, minhash, quality_rules, sharding, toxicity, url_filter
+from palimpsest.llm import bpe, decontam, minhash, quality_lm, quality_rules, sharding, toxicity, url_filter
 from palimpsest.llm.common import table
 
 
@@ -37,6 +37,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The perplexity of every whole text under the model of trusted documents, and the verdict of its language's threshold."""
+    return quality_lm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule and verdict of every page's url."""
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_quality_lm": op8_quality_lm,
     "op9_url_filter": op9_url_filter,
     "op10_decontam": op10_decontam,
 }
