@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontam, minhash, quality_lm, quality_rules, sharding, toxicity, url_filter
+from palimpsest.llm import bpe, decontam, line_dedup, minhash, quality_lm, quality_rules, sharding, toxicity, url_filter
 from palimpsest.llm.common import table
 
 
@@ -17,6 +18,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return bpe.encode(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), ids=False)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat an earlier line within one word, as counts and the digest of its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.deduplicate(docs, counts=True)
+    return out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents on sets of two-word shingles."""
     return minhash.groups(table(spark, sf_dir, "documents"), width=2)
@@ -55,6 +63,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
+    "op3_line_dedup": op3_line_dedup,
     "op4_minhash": op4_minhash,
     "op5_sharding": op5_sharding,
     "op6_toxicity": op6_toxicity,
@@ -65,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.SQL,
     "op7_quality_rules": quality_rules.sql(),
     "op9_url_filter": url_filter.SQL,
 }
