@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontam, line_dedup, minhash, quality_lm, quality_rules, sharding, toxicity, url_filter
+from palimpsest.llm import bpe, decontam, line_dedup, minhash, pii, quality_lm, quality_rules, sharding, toxicity, url_filter
 from palimpsest.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text, and the terms near it that reveal it."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Every whole text encoded and decoded with the word-level vocabulary."""
     import public_tokenizers
@@ -62,6 +67,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash": op4_minhash,
