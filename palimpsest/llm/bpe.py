@@ -192,7 +192,7 @@ def chunks(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, the ids and the decoded text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +209,9 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
                 }
                 if ids:
                     columns["ids"] = pa.array([list(map(int, i.split())) for _, i, _ in rows], pa.list_(pa.int32()))
+                if decoded:
                     columns["decoded"] = pa.array([t for _, _, t in rows], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -25,20 +26,29 @@ def settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
-
-    The folder is the one that ``spark.checkpoint.dir`` names; only a session
-    that has none (tests, a laptop) gets one of its own.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only a session that has none (tests, a laptop) gets one of its own."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(
             context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
         )
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """df from a Parquet table in the shared folder, for wide rows that are read more than once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most ``most`` rows; reads no more than that."""
     return df.limit(most + 1).count() <= most

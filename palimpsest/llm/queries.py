@@ -20,7 +20,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     """Every whole text encoded and decoded with the word-level vocabulary."""
     import public_tokenizers
 
-    return bpe.encode(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), ids=False)
+    return bpe.encode(table(spark, sf_dir, "documents"), path or public_tokenizers.path("word_bpe_49k.json"), ids=False, decoded=False)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
