@@ -42,6 +42,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def compact(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """A checkpoint of slim rows in as many partitions as hold ``rows`` each, so that a small table does not leave a file for every task of every later shuffle."""
+    done = materialise(df)
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
 def reread(df: DataFrame) -> DataFrame:
     """df from a Parquet table in the shared folder, for wide rows that are read more than once."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise
+from palimpsest.llm.common import compact
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,17 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     Nulls and loops are ignored. Rounds grow with the logarithm of the largest
     component, and each is checkpointed, so a lost executor costs one round.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialise(e)
+    e = compact(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = compact(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(least, "u")
-        e = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = materialise(e.select("x.u", "x.v").where("u <> v").distinct())
+        # (v, m) of every edge, and (u, m) once; edges that were alike are alike here and meet in one group
+        e = compact(e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 1_000_033)).first()
         if now == before:
             break
