@@ -1,12 +1,12 @@
 """Line deduplication by a deletion-neighbourhood join, in DataFrame operations only.
 
-A line is what newlines separate, trimmed; its words are what single spaces
-separate; blank lines stay. A line goes if an earlier line (by doc_id, then place)
+A line is what newlines separate, without spaces at its ends; its words are what single spaces
+separate; empty lines stay. A line goes if an earlier line (by doc_id, then place)
 is equal to it, or lies within one edit of a whole word (one word inserted,
 deleted or replaced) and both have at least NEAR_WORDS words.
 
-1. Equal lines are grouped by a 128-bit hash, with map-side combining; each
-   distinct line keeps its earliest place.
+1. Equal lines are counted by a 128-bit hash, with map-side combining; the
+   earliest place is looked for among the lines that occur twice or more.
 2. An edit leaves the first or the last half of a line whole. Lines that share no
    half with another distinct line have no neighbour and need no variants; halves
    are measured in lengths of 5, 10, 20, ... words, and lines near a step of that
@@ -33,7 +33,6 @@ from palimpsest.llm.common import materialise, sized
 
 #: Lines with fewer words go only if they are equal to an earlier one.
 NEAR_WORDS = 11
-BLANK = " \t\x0b\x0c\r\x00"
 
 
 def half(n: Column) -> Column:
@@ -43,9 +42,9 @@ def half(n: Column) -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, t (hash of the text), pos, line of every line that is not blank; docs has doc_id and text."""
+    """doc_id, t (hash of the text), pos, line of every line that is not empty; docs has doc_id and text."""
     split = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    return split.select("doc_id", "t", "pos", F.btrim("raw", F.lit(BLANK)).alias("line")).where("line <> ''")
+    return split.select("doc_id", "t", "pos", F.trim("raw").alias("line")).where("line <> ''")
 
 
 def hashes() -> list[Column]:
@@ -55,45 +54,55 @@ def hashes() -> list[Column]:
 PLACE = ("doc_id", "t", "pos")
 
 
+HALVES = ("head", "tail", "head_up", "tail_up")
+
+
 def distinct_lines(slim: DataFrame) -> DataFrame:
-    """h1, h2, n (words), place (earliest), copies, first halves and last halves (hashes) of each distinct line."""
-    n = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    sized_ = lines(slim).withColumn("n", n)
-    scale = F.when(F.col("n") >= NEAR_WORDS, F.array_distinct(F.array(half(F.greatest(F.col("n") - 1, F.lit(NEAR_WORDS))), half(F.col("n")), half(F.col("n") + 1))))
-    # a step up is only for lines that have the words for it
-    scale = F.filter(scale, lambda h: h * 2 <= F.col("n"))
-    keyed = sized_.withColumn("scale", scale)
-    heads = F.transform("scale", lambda h: F.xxhash64(F.lit("head"), F.call_function("substring_index", F.col("line"), F.lit(" "), h)))
-    tails = F.transform("scale", lambda h: F.xxhash64(F.lit("tail"), F.call_function("substring_index", F.col("line"), F.lit(" "), -h)))
-    own = keyed.select(*PLACE, *hashes(), "n", F.concat(heads, tails).alias("halves"))
-    return own.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("copies"), F.min("halves").alias("halves"))
+    """h1, h2, copies and the hashes of the first and last halves of each distinct line; those one step up are null for most."""
+    n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
+    own = lines(slim).select("line", n.alias("n"))
+    own = own.select("line", half(F.greatest(F.col("n") - 1, F.lit(NEAR_WORDS))).alias("h"), half(F.col("n") + 1).alias("up"), "n")
+    part = lambda name, h: F.xxhash64(F.lit(name), F.call_function("substring_index", F.col("line"), F.lit(" "), h))
+    near, up = F.col("n") >= NEAR_WORDS, (F.col("up") != F.col("h")) & (F.col("up") * 2 <= F.col("n"))
+    halves = [F.when(near, part("head", F.col("h"))), F.when(near, part("tail", -F.col("h"))), F.when(near & up, part("head", F.col("up"))), F.when(near & up, part("tail", -F.col("up")))]
+    return own.select(*hashes(), *(c.alias(k) for k, c in zip(HALVES, halves, strict=True))).groupBy("h1", "h2").agg(F.count("*").alias("copies"), *(F.max(k).alias(k) for k in HALVES))
 
 
 def neighbours(slim: DataFrame, found: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines that lie within one word of an earlier line."""
-    halves = found.where("halves is not null").select("h1", "h2", "place", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").count().where("count > 1").select("half")
-    wanted = materialise(halves.join(shared, "half").select("h1", "h2", *(F.col(f"place.{c}").alias(c) for c in PLACE)).distinct())
-    places = wanted.select(*(F.col(c).alias(f"{c}_w") for c in PLACE), "h1", "h2")
-    here = F.col("doc_id").eqNullSafe(F.col("doc_id_w")) & (F.col("t") == F.col("t_w")) & (F.col("pos") == F.col("pos_w"))
-    texts = lines(slim).join(sized(places), here).dropDuplicates(["h1", "h2"])
+    sides = F.array(*(F.struct(F.col(k).alias("half"), F.lit(k.startswith("head")).alias("head")) for k in HALVES))
+    halves = found.where("head is not null").select("h1", "h2", F.inline(sides)).where("half is not null")
+    shared = materialise(halves.groupBy("half").count().where("count > 1").select("half"))
+    wanted = halves.join(sized(shared), "half", "left_semi").groupBy("h1", "h2").agg(F.bool_or("head").alias("by_head"), F.bool_or(~F.col("head")).alias("by_tail"))
+    wanted = materialise(wanted)
+    texts = lines(slim).select(*PLACE, "line", *hashes()).join(sized(wanted), ["h1", "h2"])
+    texts = texts.groupBy("h1", "h2", "by_head", "by_tail").agg(F.min(F.struct(*PLACE)).alias("place"), F.first("line").alias("line"))
     # r numbers the lines in their order; the checkpoint fixes it
-    ordered = texts.orderBy(F.col("doc_id").asc_nulls_first(), "t", "pos").select(F.monotonically_increasing_id().alias("r"), "h1", "h2", F.split("line", " ").alias("words"))
+    ordered = texts.orderBy(F.col("place.doc_id").asc_nulls_first(), "place.t", "place.pos").select(F.monotonically_increasing_id().alias("r"), "h1", "h2", "by_head", "by_tail", F.split("line", " ").alias("words"))
     numbered = materialise(ordered)
-    word = numbered.repartition("r").select("r", F.posexplode("words").alias("i", "w"))
-    word = word.select("r", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("moved"))
-    whole, upto = Window.partitionBy("r"), Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    # where the first halves are alike the edit lies behind them, where the last ones are it lies before
+    n = F.size("words")
+    low, high = F.when(F.col("by_tail"), 0).otherwise(half(F.greatest(n - 1, F.lit(NEAR_WORDS)))), F.when(F.col("by_head"), n).otherwise(half(n + 1))
+    word = numbered.repartition("r").select("r", low.alias("low"), high.alias("high"), F.posexplode("words").alias("i", "w"))
+    word = word.select("r", "low", "high", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("moved"))
+    upto = Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.expr("bit_xor(here)").over(upto).bitwiseXOR(F.col("here"))
     after = F.expr("bit_xor(moved)").over(whole).bitwiseXOR(F.expr("bit_xor(moved)").over(upto))
-    keyed = word.select("r", "i", before.bitwiseXOR(after).alias("key"), F.expr("bit_xor(here)").over(whole).alias("all"))
-    keys = keyed.select("r", F.explode(F.when(F.col("i") == 0, F.array(F.struct("i", "key"), F.struct(F.lit(-1).alias("i"), F.col("all").alias("key")))).otherwise(F.array(F.struct("i", "key")))).alias("v"))
-    keys = keys.select("r", "v.i", "v.key")
+    keyed = word.select("r", "low", "high", "i", before.bitwiseXOR(after).alias("key"), F.expr("bit_xor(here)").over(whole).alias("all"))
+    own, all_ = F.struct("i", "key"), F.struct(F.lit(-1).alias("i"), F.col("all").alias("key"))
+    inside = (F.col("i") >= F.col("low")) & (F.col("i") < F.col("high"))
+    some = F.array_compact(F.array(F.when(inside, own), F.when(F.col("i") == 0, all_)))
+    keys = keyed.where(inside | (F.col("i") == 0)).select("r", F.inline(some))
+    keys = materialise(keys)
     of_place = keys.groupBy("key", "i").agg(F.min("r").alias("least"), F.count("*").alias("k"))
     bucket = of_place.groupBy("key").agg(F.min(F.when(F.col("i") < 0, F.col("least"))).alias("least_whole"), F.min(F.when(F.col("i") >= 0, F.col("least"))).alias("least_variant"), F.sum("k").alias("k"))
-    crowded = of_place.join(bucket.where("k > 1"), "key").select("key", "i", "least", "least_whole", "least_variant")
-    at = keys.join(crowded, ["key", "i"])
-    other = F.when(F.col("i") < 0, F.array("least_variant")).otherwise(F.array("least", "least_whole"))
-    pairs = at.select("r", F.explode(other).alias("e")).where("e < r").distinct()
+    crowded = materialise(bucket.where("k > 1").drop("k"))
+    at = keys.join(sized(crowded), "key")
+    same = at.where("i >= 0").groupBy("key", "i").agg(F.min("r").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
+    pairs = at.where("i < 0").select("r", F.col("least_variant").alias("e")).union(at.where("i >= 0").select("r", F.col("least_whole").alias("e")))
+    pairs = pairs.union(at.where("i >= 0").select("r", "key", "i").join(sized(materialise(same)), ["key", "i"]).select("r", F.col("least").alias("e")))
+    pairs = pairs.where("e < r").distinct()
     mine = numbered.select("r", "h1", "h2", F.col("words").alias("a"))
     theirs = numbered.select(F.col("r").alias("e"), F.col("words").alias("b"))
     return pairs.join(mine, "r").join(theirs, "e").where(within_one(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
@@ -120,11 +129,11 @@ def dropped(docs: DataFrame) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     found = materialise(distinct_lines(slim))
     near = neighbours(slim, found).withColumn("near", F.lit(True))
-    flagged = found.join(near, ["h1", "h2"], "left").where("copies > 1 or near").select("h1", "h2", "place", F.coalesce("near", F.lit(False)).alias("near"))
-    flagged = materialise(flagged)
-    at = lines(slim).select(*PLACE, *hashes()).join(sized(flagged), ["h1", "h2"])
-    first = F.struct(*PLACE).eqNullSafe(F.col("place"))
-    gone = at.withColumn("exact", ~first).where("exact or near")
+    flagged = found.select("h1", "h2", "copies").join(near, ["h1", "h2"], "left").where("copies > 1 or near")
+    flagged = materialise(flagged.select("h1", "h2", F.coalesce("near", F.lit(False)).alias("near")))
+    at = materialise(lines(slim).select(*PLACE, *hashes()).join(sized(flagged), ["h1", "h2"]))
+    first = at.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"))
+    gone = at.join(sized(first), ["h1", "h2"]).withColumn("exact", ~F.struct(*PLACE).eqNullSafe(F.col("place"))).where("exact or near")
     spots = gone.groupBy(F.col("doc_id").alias("d"), "t").agg(F.collect_set(F.when(F.col("exact"), F.col("pos"))).alias("exact"), F.collect_set(F.when(~F.col("exact"), F.col("pos"))).alias("near"))
     return materialise(spots)
 
@@ -149,7 +158,7 @@ def deduplicate(docs: DataFrame, counts: bool = False) -> DataFrame:
 
 SQL = f"""
 WITH raw AS (
-  SELECT doc_id, i - 1 AS pos, trim(parts[i], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line
+  SELECT doc_id, i - 1 AS pos, trim(parts[i], ' ') AS line
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))
 ), named AS (
   SELECT * FROM raw WHERE line <> ''
