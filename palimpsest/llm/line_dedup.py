@@ -143,7 +143,7 @@ def deduplicate(docs: DataFrame, counts: bool = False) -> DataFrame:
     spots = dropped(docs).withColumnsRenamed({"d": "doc of the spots", "t": "text of the spots", "exact": "exact spots", "near": "near spots"})
     text = F.col("text").cast("string")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("doc of the spots")) & (F.xxhash64(text) == F.col("text of the spots"))
-    joined = docs.join(sized(spots), same, "left")
+    joined = docs.join(sized(spots, 200_000), same, "left")
     split = F.split(text, "\n")
     gone = F.concat("exact spots", "near spots")
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone))
