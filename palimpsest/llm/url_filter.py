@@ -30,7 +30,7 @@ from palimpsest.llm.common import map_batches
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 HOST_END, PATH_END = regex.compile("[/?#]"), regex.compile("[?#]")
 #: Keys sampled for each range, and letters kept of each; they only balance the ranges.
-SAMPLES, PREFIX = 32, 80
+SAMPLES, PREFIX = 8, 80
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -88,8 +88,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: in
     def sort_key(url: str | None, page_id: int | None) -> str:
         return f"{key_of(host_and_path(url)[0])[:PREFIX]}\0{xxhash.xxh3_64_hexdigest(f'{page_id} {url}')}"
 
-    # a fixed number of keys, those of least hash; only the balance of the ranges hangs on them
-    taken = pages.select("page_id", F.substring("url", 1, 400).alias("url"), F.xxhash64("page_id", "url").alias("h")).orderBy("h").limit(SAMPLES * n).collect()
+    # some SAMPLES keys for each range, those whose hash is under a share of all; only the balance of the ranges hangs on them
+    share = min(1.0, SAMPLES * n / max(1, pages.count()))
+    uniform = (F.xxhash64("page_id", "url") / F.lit(float(2**64))) + 0.5
+    taken = pages.select("page_id", F.substring("url", 1, 200).alias("url"), uniform.alias("h")).where(F.col("h") < share).collect()
     keys = sorted(sort_key(r.url, r.page_id) for r in taken)
     bounds = sorted({keys[i * len(keys) // n] for i in range(1, n)}) if keys else []
 
