@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.functions import bytecode, codecs, hashes, scalars
+from palimpsest.functions import bytecode, codecs, hashes, scalars, transforms
 from palimpsest.operators import aggregates, diff, filters, fragments, journal
+from palimpsest.sources import files as sources
+from palimpsest.sources.repository import Repository, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -685,5 +687,61 @@ def bytecode_undelta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", bytecode.run_program(bytecode.UNDELTA, F.unhex(F.array_join(delta, ""))).cast("string").alias("text"))
 
 
+@query("SELECT conv_id, turn, true AS ok FROM conversations")
+def transform_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block sort, move to front and runs of zeros, there and back."""
+    chain = ["bwt", "mtf", "zrlt"]
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("b"))
+    return c.select("conv_id", "turn", (transforms.transformed(transforms.transformed(F.col("b"), chain), chain, inverse=True) == F.col("b")).alias("ok"))
+
+
+@query("SELECT p_partkey, upper(string_agg(lpad(to_hex((256 + b - coalesce(p, 0)) % 256), 2, '0'), '' ORDER BY i)) AS delta FROM (SELECT p_partkey, i, b, lag(b) OVER (PARTITION BY p_partkey ORDER BY i) AS p FROM (SELECT p_partkey, i, ascii(substr(p_name, i, 1)) AS b FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part))) GROUP BY p_partkey")
+def delta_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.hex(transforms.transformed(F.col("p_name"), ["delta"])).alias("delta"))
+
+
+@query("SELECT doc_id, true AS ok FROM documents")
+def encrypted_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads under AES-GCM, decrypted with the same key."""
+    key, d = F.lit("0123456789abcdef0123456789abcdef"), table(spark, sf_dir, "documents")
+    sealed = d.select("doc_id", "text", F.aes_encrypt(F.col("text"), key, F.lit("GCM")).alias("sealed"))
+    return sealed.select("doc_id", (F.aes_decrypt("sealed", key, F.lit("GCM")).cast("string") == F.col("text")).alias("ok"))
+
+
+@query(f"WITH {FILES} SELECT lang, arg_max(path, doc_id) AS last_path FROM files GROUP BY lang")
+def last_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).groupBy("lang").agg(F.max_by("path", "doc_id").alias("last_path"))
+
+
+@query(f"WITH {FILES} SELECT path, strlen(path) <= 255 AS valid, regexp_replace(path, '[^ -~]', '?', 'g') AS latin FROM files")
+def name_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return files(spark, sf_dir).select("path", scalars.valid_name(p).alias("valid"), F.regexp_replace(p, "[^ -~]", "?").alias("latin"))
+
+
+@query(f"WITH {FILES}, n AS (SELECT lang || '/src1/' || doc_id || '.txt' AS name, CASE WHEN lang = 'en' THEN 'out/' || doc_id END AS destination FROM documents WHERE source = 'src1') SELECT path, coalesce(destination, path) AS destination FROM files JOIN n ON n.name = path")
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    names = f.where("source = 'src1'").select(F.col("path").alias("name"), F.when(F.col("lang") == "en", F.concat(F.lit("out/"), F.col("doc_id").cast("string"))).alias("destination"))
+    return sources.listed(f.select("path"), names).select("path", "destination")
+
+
+@query("SELECT n_nationkey, n_name AS folder FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def empty_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inside = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"))
+    return table(spark, sf_dir, "nation").join(inside, "n_nationkey", "left_anti").select("n_nationkey", F.col("n_name").alias("folder"))
+
+
+@query()
+def incremental_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents added to a new repository in two versions, then once more in vain: its versions and how many files verify."""
+    f = files(spark, sf_dir).select("lang", "path", "size", F.lit("2024-01-01").cast("timestamp_ntz").alias("mtime"), F.lit("").alias("attr"), F.col("text").cast("binary").alias("content"))
+    repo = Repository(spark, scratch(spark))
+    repo.add(f.where("lang <> 'fr'").drop("lang"), comment="without one language")
+    repo.add(f.drop("lang"), comment="all")
+    repo.add(f.drop("lang"), comment="nothing new")
+    return repo.info().crossJoin(F.broadcast(diff.tally(repo.test())))  # the tally is one row
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(spark, sf_dir)

@@ -10,6 +10,8 @@ nothing and makes no version.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -26,6 +28,12 @@ VERSIONS = "ts timestamp_ntz, added long, modified long, deleted long, bytes lon
 TABLES = {"journal": JOURNAL, "fragments": FRAGMENTS, "blocks": BLOCKS, "versions": VERSIONS}
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the session's shared checkpoint folder, or below a temporary one where there is none."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="repository-")
+    return f"{shared}/repository-{uuid.uuid4().hex}"
+
+
 @dataclass
 class Repository:
     spark: SparkSession

@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.functions import bytecode, codecs, hashes, scalars
+from palimpsest.functions import bytecode, codecs, hashes, scalars, transforms
 from palimpsest.operators import filters, fragments
 
 SIZES = [0, 1, 7, 100, 4096, 65_536]
@@ -216,3 +216,15 @@ def test_bad_programs():
     with pytest.raises(bytecode.BadProgram):
         machine = bytecode.Machine(bytecode.assemble("jmp -1"), steps=100)
         machine.run(0)
+
+
+@pytest.mark.parametrize("name", sorted(transforms.TRANSFORMS))
+def test_transforms(name):
+    forth, back = transforms.TRANSFORMS[name]
+    for data in [*samples(), b"banana", b"abab" * 30, bytes(300), b"\0a\0\0b"]:
+        if len(data) <= 4096:
+            assert back(forth(data)) == data
+    assert transforms.block_sort(b"banana")[4:] == b"nnbaaa"
+    assert transforms.move_to_front(b"aab") == bytes([97, 0, 98])
+    chain = ["bwt", "mtf", "zrlt"]
+    assert len(transforms.apply(chain, b"she sells sea shells " * 50)) < 300
