@@ -41,7 +41,7 @@ from palimpsest.llm.common import is_small, map_batches, materialise, sized
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side of an entity, and letters that are looked at for them.
 WINDOW, REACH = 6, 160
-SUPPORT, GENERALISE, REMOVE = 3, 0.75, 0.95
+SUPPORT, GENERALISE, REMOVE = 2, 0.75, 0.95
 #: The patterns of the base spans.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
