@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +44,20 @@ def surplus(files: DataFrame) -> DataFrame:
     return files.join(first, "hash").where("path <> keep").select("path", "hash", "size", "keep")
 
 
-def global_digest(files: DataFrame, groups: int = 256) -> DataFrame:
-    """One SHA-256 over the digests of all files in order, in two levels.
+def global_digest(files: DataFrame, letters: tuple[int, ...] = (6, 3, 0)) -> DataFrame:
+    """One SHA-256 over the digests of all files in order, in levels.
 
-    Digests are hashed in ``groups`` ranges by their first byte, then the ranges'
-    digests are hashed: no task gathers more than one range, and the result does not
-    depend on partitions.
+    Digests that agree in their first six letters are hashed together, then those
+    results that agree in three, then all: no task gathers more than 4096 values
+    above the lowest level, where 16 million ranges share all files. The result does
+    not depend on partitions.
     """
-    ranged = files.select("hash", F.substring("hash", 1, 2).alias("range"))
-    per = ranged.groupBy("range").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ""), 256).alias("digest"))
-    return per.agg(F.sum("n").alias("files"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "digest"))), lambda x: x["digest"]), ""), 256).alias("digest"))
+    rows = files.select(F.col("hash").alias("place"), F.col("hash").alias("digest"), F.lit(1).cast("long").alias("n"))
+    for k in letters:
+        ordered = F.array_sort(F.collect_list(F.struct("place", "digest")))
+        joined = F.array_join(F.transform(ordered, lambda x: x["digest"]), "")
+        rows = rows.groupBy(F.substring("place", 1, k).alias("place")).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("digest"))
+    return rows.select(F.col("n").alias("files"), "digest")
 
 
 def kind_profile(files: DataFrame, kind: str = "kind") -> DataFrame:
@@ -79,19 +87,31 @@ def collisions(files: DataFrame) -> DataFrame:
     return files.groupBy("weak").agg(F.count_distinct("strong").alias("contents")).where("contents > 1")
 
 
+def _counted(blocks: DataFrame, content: str, codes: Callable[[np.ndarray], np.ndarray], kinds: int) -> DataFrame:
+    """code and n: how often each code of a block's bytes occurs; counted by numpy where the blocks lie, a row for each code and batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.zeros(kinds, np.int64)
+            for b in batch.column(0).to_pylist():
+                if b:
+                    total += np.bincount(codes(np.frombuffer(b, np.uint8)), minlength=kinds)
+            found = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"code": pa.array(found.astype(np.int32)), "n": pa.array(total[found])})
+
+    parts = blocks.select(F.col(content).cast("binary")).mapInArrow(run, "code int, n long")
+    return parts.groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def byte_histogram(blocks: DataFrame, content: str = "content") -> DataFrame:
-    """How often each byte occurs in all blocks. A block's bytes are exploded where it lies and summed before the shuffle."""
-    b = blocks.select(F.hex(F.col(content).cast("binary")).alias("h"))
-    at = b.where("length(h) > 0").select("h", F.explode(F.sequence(F.lit(1), F.length("h") - 1, F.lit(2))).alias("i"))
-    return at.groupBy(F.conv(F.substring(F.col("h"), F.col("i"), F.lit(2)), 16, 10).cast("int").alias("byte")).agg(F.count("*").alias("n"))
+    """How often each byte occurs in all blocks."""
+    return _counted(blocks, content, lambda b: b, 256).select(F.col("code").alias("byte"), "n")
 
 
 def byte_pairs(blocks: DataFrame, content: str = "content") -> DataFrame:
     """How often each byte follows each other one; the first of a block follows byte 0."""
-    b = blocks.select(F.concat(F.lit("00"), F.hex(F.col(content).cast("binary"))).alias("h"))
-    at = b.where("length(h) > 2").select("h", F.explode(F.sequence(F.lit(1), F.length("h") - 3, F.lit(2))).alias("i"))
-    code = lambda d: F.conv(F.substring(F.col("h"), F.col("i") + d, F.lit(2)), 16, 10).cast("int")
-    return at.groupBy(code(0).alias("before"), code(2).alias("byte")).agg(F.count("*").alias("n"))
+    pairs = lambda b: np.r_[np.uint8(0), b[:-1]].astype(np.int64) * 256 + b
+    return _counted(blocks, content, pairs, 65_536).select(F.floor(F.col("code") / 256).cast("int").alias("before"), (F.col("code") % 256).alias("byte"), "n")
 
 
 def entropy(histogram: DataFrame, given: str | None = None) -> DataFrame:

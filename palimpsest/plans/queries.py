@@ -374,8 +374,9 @@ def dup_keep_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {FILES}, r AS (SELECT substr(hash, 1, 2) AS range, count(*) AS n, sha256(string_agg(hash, '' ORDER BY hash)) AS digest FROM files GROUP BY 1) "
-    "SELECT sum(n)::BIGINT AS files, sha256(string_agg(digest, '' ORDER BY range)) AS digest FROM r"
+    f"WITH {FILES}, a AS (SELECT substr(hash, 1, 6) AS p, count(*) AS n, sha256(string_agg(hash, '' ORDER BY hash)) AS d FROM files GROUP BY 1), "
+    "b AS (SELECT substr(p, 1, 3) AS p, sum(n) AS n, sha256(string_agg(d, '' ORDER BY p)) AS d FROM a GROUP BY 1) "
+    "SELECT sum(n)::BIGINT AS files, sha256(string_agg(d, '' ORDER BY p)) AS digest FROM b"
 )
 def global_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.global_digest(files(spark, sf_dir))
