@@ -325,3 +325,30 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFra
         order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
         out = out.withColumn("place_in_id", F.row_number().over(order)).where("place_in_id = 1").drop("place_in_id")
     return out
+
+
+#: groups() on two-word shingles, by comparing all pairs that share one.
+SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents
+), shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM worded
+), sets AS (
+  SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), chr(10))) AS c, s FROM shingled
+), classes AS (
+  SELECT c, min(doc_id) AS name, any_value(n) AS n, any_value(s) AS s FROM sets WHERE n > 0 GROUP BY c
+), member AS (
+  SELECT name, n, unnest(s) AS sh FROM classes
+), pairs AS (
+  SELECT a.name AS a, b.name AS b FROM member a JOIN member b ON a.sh = b.sh AND a.name < b.name AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80
+  GROUP BY a.name, b.name, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), linked AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach AS (
+  SELECT name AS a, name AS b FROM classes UNION SELECT r.a, e.b FROM reach r JOIN linked e ON r.b = e.a
+), component AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(k.component_id, s.doc_id) AS kept
+FROM sets s LEFT JOIN classes c ON s.c = c.c AND s.n > 0 LEFT JOIN component k ON k.a = c.name
+"""

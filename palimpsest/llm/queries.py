@@ -81,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
+    "op4_minhash": minhash.SQL,
     "op7_quality_rules": quality_rules.sql(),
     "op9_url_filter": url_filter.SQL,
 }
