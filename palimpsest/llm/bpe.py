@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from palimpsest.llm.common import map_batches
 
 #: Words remembered by a worker before the table starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 NO_RANK = np.int32(2**31 - 1)
 SPACES = regex.compile(r"\p{White_Space}+")
 #: What str.split() takes for white space and Unicode does not.
@@ -180,7 +180,7 @@ def load(path: str) -> WordBpe:
     return _LOADED[path]
 
 
-def chunks(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with about ``most`` characters each."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -48,7 +48,7 @@ BLOCK = 64
 SKETCH, DIFFER = 256, 58
 #: Similarity in hundredths.
 PERCENT = 80
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 U = np.uint64
 
 
@@ -122,7 +122,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in chunks(texts, 1_500_000):
+            for a, b in chunks(texts, 1_000_000):
                 sets = [shingles(t, width, hashes) for t in texts[a:b]]
                 full = [s for s in sets if len(s)]
                 keys, sketches = ((iter(x.view(np.int64).tolist()) for x in band_keys(full, bands, rows))) if full else (iter(()), iter(()))
@@ -156,7 +156,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in chunks(texts, 1_500_000):
+            for a, b in chunks(texts, 1_000_000):
                 sets = [shingles(t, width, hashes) for t in texts[a:b]]
                 yield pa.RecordBatch.from_pydict({"c": pa.array([digest(s)[0] for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
