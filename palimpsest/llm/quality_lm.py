@@ -9,10 +9,11 @@ trusted documents and shared out by key; there is no sample.
 The logarithm of a back-off probability is a sum of one term for each n-gram
 that ends at a letter: for a known n-gram what it adds to its suffix, for a known
 context its back-off weight. So a word's score is the sum of the weights of its
-substrings of up to five letters, wherever they come from. The weights are
-folded by hash into a table of SLOTS places, n-grams of one place averaged by
-their counts; that is all that goes to the workers, and its size does not
-depend on the corpus.
+substrings of up to five letters, wherever they come from. Every n-gram keeps its
+own weight under its exact key, so the model grows with the corpus. As long as
+TABLE_KEYS bounds them, the weights go to the workers as a table whose size is
+counted; beyond that, distinct words are joined with their n-grams' weights by
+key, and the words of texts with the words' scores. Both give the same scores.
 
 A document's perplexity is per letter. The threshold of a language is a high
 quantile of the perplexities of trusted documents that the model has not seen
@@ -38,11 +39,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import chunks
-from palimpsest.llm.common import map_batches, materialise, sized
+from palimpsest.llm.common import is_small, map_batches, materialise, sized
 from palimpsest.llm.minhash import mix
 
 ORDER = 5
-SLOTS = 1 << 22
+#: N-grams that go to the workers as a table; more are joined by key.
+TABLE_KEYS = 1 << 21
 #: Letters of a word that are scored together; longer words are cut.
 WORD_LETTERS = 64
 #: Words in a worker's table before it is handed on or starts anew.
@@ -115,7 +117,7 @@ def discounts(level: DataFrame) -> tuple[float, float, float]:
 
 
 def train(words: DataFrame) -> tuple[DataFrame, float]:
-    """key, weight, a: what each n-gram adds to a word's log probability; and the log probability of an unknown letter."""
+    """key, weight: what each n-gram adds to a word's log probability; and the log probability of an unknown letter."""
     all_levels = levels(words)
     weights: list[DataFrame] = []
     lower: DataFrame | None = None
@@ -126,11 +128,11 @@ def train(words: DataFrame) -> tuple[DataFrame, float]:
         if n == 1:
             total, kinds, taken = level.agg(F.sum("a"), F.count("*"), F.sum(cut)).first()
             if not total:
-                return level.select(F.col("g").alias("key"), F.lit(0.0).alias("weight"), "a"), unknown
+                return level.select(F.col("g").alias("key"), F.lit(0.0).alias("weight")), unknown
             rest = taken / total / (kinds + 1)
             unknown = float(np.log(rest))
             lower = materialise(level.select("g", "a", ((F.col("a") - cut) / total + rest).alias("p")))
-            weights.append(lower.select(F.col("g").alias("key"), F.log("p").alias("weight"), "a"))
+            weights.append(lower.select(F.col("g").alias("key"), F.log("p").alias("weight")))
             continue
         level = level.withColumn("h", F.expr("substring(g, 1, length(g) - 1)")).withColumn("cut", cut)
         contexts = level.groupBy("h").agg(F.sum("a").alias("total"), (F.sum("cut") / F.sum("a")).alias("back"))
@@ -138,27 +140,31 @@ def train(words: DataFrame) -> tuple[DataFrame, float]:
         joined = level.join(contexts, "h").withColumn("suffix", F.expr("substring(g, 2)")).join(suffix, "suffix")
         made = joined.select("g", "a", ((F.col("a") - F.col("cut")) / F.col("total") + F.col("back") * F.col("below")).alias("p"), (F.col("back") * F.col("below")).alias("q"))
         lower = materialise(made)
-        weights.append(lower.select(F.col("g").alias("key"), F.log(F.col("p") / F.col("q")).alias("weight"), "a"))
-        weights.append(contexts.select(F.col("h").alias("key"), F.log("back").alias("weight"), F.col("total").alias("a")))
+        weights.append(lower.select(F.col("g").alias("key"), F.log(F.col("p") / F.col("q")).alias("weight")))
+        weights.append(contexts.select(F.col("h").alias("key"), F.log("back").alias("weight")))
     out = weights[0]
     for w in weights[1:]:
         out = out.union(w)
-    return out.groupBy("key").agg(F.sum("weight").alias("weight"), F.max("a").alias("a")), unknown
+    return out.groupBy("key").agg(F.sum("weight").alias("weight")), unknown
 
 
-def slots_of(codes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the last places of the substrings that lie in one word, and their slots."""
+def keys_of(codes: np.ndarray, starts: np.ndarray, letters: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order: the last places of the substrings that lie in one word, and their keys: their letters' ranks as the digits of one number, or 0 if a letter is not in letters (sorted)."""
     n = len(codes)
-    codes = codes.astype(U) + U(1)
     since = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))  # letters before, in the word
-    rolled = np.zeros(n, U)
+    ranks = np.zeros(n, U)
+    if len(letters):
+        near = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
+        ranks = np.where(letters[near] == codes, near + 1, 0).astype(U)
+    base, rolled = U(len(letters) + 1), ranks
     out = []
     for k in range(1, ORDER + 1):
-        before = np.zeros(n, U)
-        before[1:] = rolled[:-1]
-        rolled = before * U(0x9E3779B97F4A7C15) + codes if k > 1 else codes.copy()
+        if k > 1:
+            before = np.r_[np.zeros(1, U), rolled[:-1]][:n]
+            rolled = np.where((before > 0) & (ranks > 0), before * base + ranks, U(0))
         last = np.flatnonzero(since >= k - 1)
-        out.append((last, (mix(rolled[last] + U(k * 0xD6E8FEB86659FD93 % 2**64)) & U(SLOTS - 1)).astype(np.int64)))
+        out.append((last, rolled[last]))
+        rolled = np.where(since >= k - 1, rolled, U(0))
     return out
 
 
@@ -168,34 +174,67 @@ def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.r_[0, np.cumsum(lengths)[:-1]]
 
 
-def folded(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The slots where n-grams fall, and their weights: at most SLOTS of each."""
+def fits(model: DataFrame) -> bool:
+    """Whether the model may go to the workers: at most TABLE_KEYS n-grams, of so few letters that a number of 64 bits holds each."""
+    return is_small(model, TABLE_KEYS) and (model.where(F.length("key") == 1).count() + 1) ** ORDER < 2**64
+
+
+def folded(model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of a model that fits(), the keys of its n-grams and their weights."""
+    letters = np.sort(np.array([ord(r.key) for r in model.where(F.length("key") == 1).select("key").collect()], np.uint32))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
             if not keys:
                 continue
-            ends = np.cumsum([len(k) for k in keys]) - 1
-            slot = np.zeros(len(keys), np.int64)
             lengths = np.array([len(k) for k in keys])
-            for k, (last, found) in enumerate(slots_of(*codes_of(keys)), 1):
-                where = np.full(ends[-1] + 1, -1, np.int64)
+            ends = np.cumsum(lengths) - 1
+            own = np.zeros(len(keys), U)
+            for k, (last, found) in enumerate(keys_of(*codes_of(keys), letters), 1):
+                where = np.zeros(ends[-1] + 1, U)
                 where[last] = found
-                slot[lengths == k] = where[ends[lengths == k]]
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(slot), "weight": batch.column(1), "a": batch.column(2)})
-
-    by_slot = map_batches(model.select("key", "weight", F.col("a").cast("double")), run, "slot long, weight double, a double")
-    rows = by_slot.groupBy("slot").agg((F.sum(F.col("weight") * F.col("a")) / F.sum("a")).cast("float").alias("weight")).toPandas()  # at most SLOTS rows
-    return rows["slot"].to_numpy(np.int32), rows["weight"].to_numpy(np.float32)
+                own[lengths == k] = where[ends[lengths == k]]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(own.view(np.int64)), "weight": batch.column(1)})
+
+    rows = map_batches(model.select("key", F.col("weight").cast("float")), run, "key long, weight float").toPandas()  # at most TABLE_KEYS rows
+    return letters, rows["key"].to_numpy(np.int64).view(U), rows["weight"].to_numpy(np.float32)
+
+
+class Table:
+    """Weights by key, with open addressing; at most half of its places are taken. Key 0 is never found."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.mask = U(size - 1)
+        self.keys, self.weights = np.zeros(size, U), np.zeros(size, np.float32)
+        left, at = np.arange(len(keys)), mix(keys) & self.mask
+        while len(left):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[left[free]]
+            done = self.keys[at] == keys[left]
+            self.weights[at[done]] = weights[left[done]]
+            left, at = left[~done], (at[~done] + U(1)) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The weight of each key, NaN where there is none."""
+        out = np.full(len(keys), np.nan)
+        left = np.flatnonzero(keys)
+        at = mix(keys[left]) & self.mask
+        while len(left):
+            there = self.keys[at]
+            same = there == keys[left]
+            out[left[same]] = self.weights[at[same]]
+            on = ~same & (there != 0)
+            left, at = left[on], (at[on] + U(1)) & self.mask
+        return out
 
 
 class Scorer:
     """Log probabilities of words from a table of weights, remembered in a bounded table."""
 
-    def __init__(self, weights: tuple[np.ndarray, np.ndarray], unknown: float):
-        self.table, self.unknown = np.full(SLOTS, np.nan, np.float32), unknown
-        self.table[weights[0]] = weights[1]
+    def __init__(self, model: tuple[np.ndarray, np.ndarray, np.ndarray], unknown: float):
+        self.alphabet, self.table, self.unknown = model[0], Table(*model[1:]), unknown
         self.place: dict[str, int] = {}
         self.score, self.letters = np.zeros(0), np.zeros(0)
 
@@ -205,8 +244,8 @@ class Scorer:
         total = np.zeros(len(codes))
         first = np.zeros(len(codes), bool)
         first[starts] = True
-        for k, (last, slot) in enumerate(slots_of(codes, starts), 1):
-            found = self.table[slot].astype(np.float64)
+        for k, (last, keys) in enumerate(keys_of(codes, starts, self.alphabet), 1):
+            found = self.table.find(keys)
             if k == 1:
                 # the start is not predicted, but it is a context
                 found = np.where(np.isnan(found), np.where(first[last], 0, self.unknown), found)
@@ -256,6 +295,9 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     seen, unseen = trusted_ids(labels)
     trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(seen, F.col("doc_id") == F.col("trusted_id"), "left_semi")
     model, unknown = train(materialise(word_counts(trusted)))
+    model = materialise(model)
+    if not fits(model):
+        return joined_bits(docs, model, unknown), unseen
     shared = context.broadcast(folded(model))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +318,48 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
 BITS, LETTERS = "bits per letter", "letters scored"
 
 
+def word_scores(words: DataFrame, model: DataFrame, unknown: float) -> DataFrame:
+    """word, score: the log probability of each of words (word), from the weights of its n-grams joined by key."""
+    s = F.concat(F.lit(START), "word", F.lit(END))
+    at = words.select("word", s.alias("s"), F.explode(F.sequence(F.lit(1), F.length("word") + 2)).alias("j"))
+    grams = at.select("word", "j", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(ORDER), F.col("j")))).alias("k"))
+    grams = grams.select("word", (F.col("j") > 1).alias("predicted"), F.col("s").substr(F.col("j") - F.col("k") + 1, F.col("k")).alias("key"))
+    found = grams.join(sized(model), "key", "left")
+    # the start is not predicted, but it is a context
+    none = F.when((F.length("key") == 1) & F.col("predicted"), unknown).otherwise(0.0)
+    return found.groupBy("word").agg(F.sum(F.coalesce("weight", none)).alias("score"))
+
+
+def joined_bits(docs: DataFrame, model: DataFrame, unknown: float) -> DataFrame:
+    """perplexities() by joins: distinct words with the model, the words of texts with their scores, docs with their texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in chunks(texts):
+                out: list[list] = [[], [], [], []]
+                for t1, t2, text in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), texts[a:b], strict=True):
+                    words = tokens(text)
+                    own = Counter(SAME if i and w == words[i - 1] else w for i, w in enumerate(words))
+                    own[""] = 1  # counts the rows of one text
+                    for column, values in zip(out, ([t1] * len(own), [t2] * len(own), own.keys(), own.values()), strict=True):
+                        column.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["t1", "t2", "word", "n"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    t1, t2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    keyed = docs.select(t1.alias("t1"), t2.alias("t2"), text.alias("text"))
+    counts = materialise(map_batches(keyed, run, "t1 long, t2 long, word string, n long"))
+    scores = materialise(word_scores(counts.select("word").distinct(), model, unknown))
+    copies, n = F.sum(F.when(F.col("word") == "", 1)), F.when(F.col("word") != "", F.col("n"))
+    letters = F.sum(n * (F.length("word") + 1))
+    of_text = counts.join(sized(scores), "word").groupBy("t1", "t2").agg((-F.sum(n * F.col("score")) / letters / F.log(F.lit(2.0))).alias(BITS), (letters / copies).cast("long").alias(LETTERS))
+    of_text = materialise(of_text).withColumnsRenamed({"t1": "t1 of the text", "t2": "t2 of the text"})
+    same = (t1 == F.col("t1 of the text")) & (t2 == F.col("t2 of the text"))
+    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    return docs.join(sized(of_text), same, "left").select(*columns, BITS, F.coalesce(LETTERS, F.lit(0).cast("long")).alias(LETTERS))
+
+
 def steadied(bits: Column, letters: Column, median: Column) -> Column:
     """bits of a text as if PRIOR letters of the median stood before it, so that a short text is not judged by a few letters."""
     return (bits * letters + median * PRIOR) / (letters + PRIOR)

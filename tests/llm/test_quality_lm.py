@@ -109,3 +109,28 @@ def test_nothing_trusted(spark, case):
     docs, labels = case
     assert q.accepted(docs, labels.limit(0)).count() == docs.count() - 2
     assert q.accepted(docs.limit(0), labels).count() == 0
+
+
+def test_every_ngram_keeps_its_own_weight(spark):
+    rnd = random.Random(5)
+    words = {"".join(chr(rnd.randint(0x100, 0x3FF)) for _ in range(8)) for _ in range(20_000)}
+    model, unknown = q.train(spark.createDataFrame([(w, 1) for w in words], "word string, n long"))
+    letters, keys, weights = q.folded(model)
+    assert len(keys) == len(set(keys.tolist())) == model.count() > 2**18
+    table = q.Table(keys, weights)
+    assert np.array_equal(table.find(keys), weights.astype(float))
+    # what the model has not seen has no weight, however full the table is
+    strange = np.setdiff1d(np.array([rnd.randrange(1, 2**63) for _ in range(100_000)], np.uint64), keys)
+    assert np.isnan(table.find(np.r_[strange, np.zeros(5, np.uint64)])).all()
+
+
+def test_joins_give_the_scores_of_the_table(spark, case, monkeypatch):
+    docs, labels = case
+    rows = lambda: sorted(((r.doc_id, r.lang, r.perplexity, r.threshold, r.accepted) for r in q.classify(docs, labels).collect()), key=str)
+    table = rows()
+    kept = sorted(q.accepted(docs, labels).collect(), key=str)
+    monkeypatch.setattr(q, "TABLE_KEYS", 10)
+    joined = rows()
+    assert [r[:2] + r[4:] for r in joined] == [r[:2] + r[4:] for r in table]
+    assert all(np.allclose([x or 0 for x in a[2:4]], [x or 0 for x in b[2:4]], rtol=1e-4) for a, b in zip(joined, table, strict=True))
+    assert sorted(q.accepted(docs, labels).collect(), key=str) == kept
