@@ -4,21 +4,23 @@ Base spans are e-mail addresses, IPv4 addresses, payment card numbers and phone
 numbers, found in whole texts by patterns and their checks. Every value is a
 protected entity. Information-theoretic sanitisation then looks for terms that
 reveal it: over all documents, a term's disclosure of an entity is their pointwise
-mutual information, of the entity in a document and the term near it, as a share
-of the entity's information content,
+mutual information, of the entity and the term in one document, as a share of the
+entity's information content,
 
     log(N n(t, e) / (n(t) n(e))) / log(N / n(e)),
 
-with numbers of documents: N all, n(e) with the entity, n(t) with the term
-anywhere, n(t, e) with the term within WINDOW words of the entity. 1 means that
-the term occurs with the entity alone. From GENERALISE on a term becomes a
-generalised span, from REMOVE on a removed one, in every document where it stands
-near that entity; at least SUPPORT documents must bear it out. Documents without
-an entity are left alone.
+with numbers of documents: N all, n(e) with the entity, n(t) with the term, n(t, e)
+with both. 1 means that the term occurs with the entity alone. From GENERALISE on
+every occurrence of the term in the documents of that entity becomes a generalised
+span, from REMOVE on a removed one; at least SUPPORT documents must bear it out.
+Documents without the entity are left alone.
 
-All counts are partial sums made where the rows are, joined by key; a document
-gives at most 2 * WINDOW terms for an entity's place, so nothing grows with the
-square of a group. Terms of the corpus are counted only if a candidate needs them.
+Candidates are all terms of the whole documents that hold an entity of SUPPORT
+documents or more. Numbers of documents with the entity and with the term come
+first: n(t, e) is at most the lesser, so pairs that cannot reach GENERALISE go
+before they are counted, and none is lost by it. All counts are partial sums made
+where the rows are, joined by key. Terms of the corpus are counted only if a
+candidate needs them.
 
 Rows: a null text is empty and has no spans; rows with equal texts have equal
 spans, whatever their doc_id, which may be null; extra columns are ignored, or
@@ -27,7 +29,6 @@ kept by ``sanitise``.
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterable, Iterator
 
@@ -39,8 +40,6 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import is_small, map_batches, materialise, sized
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on either side of an entity, and letters that are looked at for them.
-WINDOW, REACH = 6, 160
 SUPPORT, GENERALISE, REMOVE = 2, 0.75, 0.95
 #: The patterns of the base spans.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -123,91 +122,112 @@ def entity(kind: int, value: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{plain}".encode()) - 2**63
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of the terms next to each span, whole ones that no base span covers."""
-    covered = [(a, b) for a, _, b in spans]
-    out = set()
-    for a, kind, b in spans:
-        own = entity(kind, text[a:b])
-        low, high = max(0, a - REACH), min(len(text), b + REACH)
-        before = [(m.start() + low, m.end() + low) for m in TERM.finditer(text[low:a])]
-        after = [(m.start() + b, m.end() + b) for m in TERM.finditer(text[b:high])]
-        if before and low and before[0][0] == low:  # perhaps cut
-            before = before[1:]
-        if after and high < len(text) and after[-1][1] == high:
-            after = after[:-1]
-        for x, y in before[-WINDOW:] + after[:WINDOW]:
-            term = text[x:y].translate(LOWER)
-            if len(term) > 1 and not term.isdigit() and all(y <= c or x >= d for c, d in covered_near(covered, x, y)):
-                out.add((own, term, x, y))
-    return sorted(out)
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all terms of a text that no base span (sorted) meets."""
+    out = []
+    i = last = 0  # spans that begin before the term's end, and the furthest end of those
+    for m in TERM.finditer(text):
+        x, y = m.span()
+        while i < len(spans) and spans[i][0] < y:
+            last = max(last, spans[i][2])
+            i += 1
+        term = m.group().translate(LOWER)
+        if last <= x and len(term) > 1 and not term.isdigit():
+            out.append((term, x, y))
+    return out
 
 
-def covered_near(covered: list[tuple[int, int]], x: int, y: int) -> list[tuple[int, int]]:
-    """The spans of a sorted list that may meet [x, y): those around its place."""
-    i = bisect.bisect_left(covered, (x, x))
-    # a span is as long as its text, so a few before may reach x
-    return covered[max(0, i - 8) : i] + [s for s in covered[i : i + 8] if s[0] < y]
+def near_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
+    """(entity, term, start, end) of every entity of a text with every term of it."""
+    own = {entity(kind, text[a:b]) for a, kind, b in spans}
+    return sorted((e, *t) for e in own for t in terms_of(text, spans))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), spans, entities (distinct), near (terms; first: the first of its entity and term)."""
-    span, near = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]), pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_())])
+    """doc_id, spans, entities (distinct), and of rows with spans key (of the text) and text."""
+    span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, all_spans, all_entities, all_near = [], [], [], []
+            keys, all_spans, all_entities, texts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
-                found = near_terms(text, spans) if spans else []
-                seen: set[tuple[int, str]] = set()
-                rows = []
-                for e, term, a, b in found:
-                    rows.append({"entity": e, "term": term, "start": a, "end": b, "first": (e, term) not in seen})
-                    seen.add((e, term))
                 keys.append(xxhash.xxh3_64_intdigest(text.encode()) - 2**63 if spans else None)
                 all_spans.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
                 all_entities.append(sorted({entity(k, text[a:b]) for a, k, b in spans}))
-                all_near.append(rows)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "key": pa.array(keys, pa.int64()), "spans": pa.array(all_spans, pa.list_(span)), "entities": pa.array(all_entities, pa.list_(pa.int64())), "near": pa.array(all_near, pa.list_(near))})
+                texts.append(text if spans else None)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "key": pa.array(keys, pa.int64()), "spans": pa.array(all_spans, pa.list_(span)), "entities": pa.array(all_entities, pa.list_(pa.int64())), "text": pa.array(texts, pa.string())})
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, key long, spans array<struct<start:int,kind:int,end:int>>, entities array<long>, near array<struct<entity:long,term:string,start:int,end:int,first:boolean>>")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, key long, spans array<struct<start:int,kind:int,end:int>>, entities array<long>, text string")
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """entity, term, disclosure of the pairs that reach GENERALISE with SUPPORT documents."""
-    total = scanned.count()
-    with_any = scanned.where(F.size("spans") > 0)
-    pairs = with_any.select(F.explode("near").alias("x")).where("x.first").groupBy("x.entity", "x.term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = materialise(pairs)
-    entities = with_any.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    wanted = pairs.select("term").distinct()
+def as_tuples(spans: list[dict]) -> list[tuple[int, int, int]]:
+    return [(s["start"], s["kind"], s["end"]) for s in spans]
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """key, terms (distinct) of each row of rows (key, spans, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = [sorted({t for t, _, _ in terms_of(text, as_tuples(spans))}) for spans, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"key": batch.column(0), "terms": pa.array(terms, pa.list_(pa.string()))})
+
+    return map_batches(rows.select("key", "spans", "text"), run, "key long, terms array<string>")
+
+
+def revealing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+    """key, term, disclosure: for each text the terms that reach GENERALISE with SUPPORT documents for an entity of it."""
+    total = float(scanned.count())
+    held = scanned.where(F.size("spans") > 0)
+    entities = held.select("key", F.explode("entities").alias("entity"))
+    n_e = materialise(entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT))
+    holders = materialise(entities.distinct().join(sized(n_e), "entity"))
+    concerned = held.join(sized(holders.select("key").distinct()), "key", "left_semi")
+    terms = materialise(vocabulary(concerned)).select("key", F.explode("terms").alias("term"))
+    wanted = materialise(terms.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("term"))
     words = F.array_distinct(F.split(F.translate("text", CAPITALS, SMALL), BREAK))
-    terms = docs.select(F.explode(words).alias("term"))
+    everywhere = docs.select(F.explode(words).alias("term"))
     if is_small(wanted):
-        terms = terms.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+        n_t = everywhere.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
-        terms = terms.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
-    rated = pairs.join(entities, "entity").join(terms, "term")
-    information = F.log(F.lit(float(total)) / F.col("n_e"))
-    shared = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    return rated.select("entity", "term", F.round(shared / F.nullif(information, F.lit(0.0)), 9).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+        n_t = everywhere.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+    information = F.nullif(F.log(F.lit(total) / F.col("n_e")), F.lit(0.0))
+    disclosure = lambda n: F.round(F.log(F.lit(total) * n / (F.col("n_t") * F.col("n_e"))) / information, 9)
+    both = terms.join(sized(materialise(n_t)), "term").join(holders, "key")
+    both = both.where(disclosure(F.least("n_t", "n_e")) >= GENERALISE)
+    told = both.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    told = materialise(told.select("entity", "term", disclosure(F.col("n_te")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE))
+    return both.select("key", "entity", "term").join(sized(told), ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """doc_id, key, spans with those of every occurrence of terms (term, kind); rows has doc_id, key, spans, text, terms."""
+    span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans, text, terms in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                kinds = {t["term"]: t["kind"] for t in terms}
+                found = [{"start": x, "kind": kinds[t], "end": y} for t, x, y in terms_of(text, as_tuples(spans)) if t in kinds]
+                out.append(spans + found)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "key": batch.column(1), "spans": pa.array(out, pa.list_(span))})
+
+    return map_batches(rows.select("doc_id", "key", "spans", "text", "terms"), run, "doc_id long, key long, spans array<struct<start:int,kind:int,end:int>>")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, key, all_spans (start, kind, end; kind 4: generalised term, 5: removed term), by start, then kind."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     scanned = materialise(scan(slim))
-    told = materialise(disclosures(slim, scanned))
-    near = scanned.where(F.size("near") > 0).select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term", "x.start", "x.end")
-    kind = F.when(F.max("disclosure") >= REMOVE, 5).otherwise(4)
-    terms = near.join(sized(told), ["entity", "term"]).groupBy("key", "start", "end").agg(kind.alias("kind"))
-    terms = terms.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
-    few = scanned.where(F.size("near") > 0).select("doc_id", "key", "spans")
-    rest = scanned.where(F.size("near") == 0).select("doc_id", "key", "spans")
-    both = few.join(sized(terms, 200_000), "key", "left").select("doc_id", "key", F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", "terms")).alias("spans"))
-    return both.union(rest).select("doc_id", "key", F.sort_array("spans").alias("all_spans"))
+    kind = F.when(F.col("disclosure") >= REMOVE, 5).otherwise(4)
+    terms = revealing(slim, scanned).groupBy("key").agg(F.collect_list(F.struct("term", kind.alias("kind"))).alias("terms"))
+    rest = scanned.where(F.size("spans") == 0).select("doc_id", "key", "spans")
+    few = scanned.where(F.size("spans") > 0).join(sized(materialise(terms), 20_000), "key", "left")
+    few = marked(few.withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<term:string,kind:int>>"))))
+    return few.union(rest).select("doc_id", "key", F.sort_array("spans").alias("all_spans"))
 
 
 NAMES = ("email", "ip", "card", "phone", "term", "term")

@@ -111,3 +111,17 @@ def test_digest_and_texts(spark):
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert "[EMAIL]" in texts[0] and "ebulon" not in texts[0] and texts[1] == rows[1][1] and texts[200] is None
     assert pii.find(df.limit(0)).count() == 0 and pii.sanitise(df.limit(0)).count() == 0
+
+
+def test_terms_of_whole_documents(spark):
+    rnd = random.Random(9)
+    filler = [f"word{i}" for i in range(40)]
+    far = [rnd.choice(filler) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(filler) for _ in range(20))) for i in range(60)]
+    # the name stands in the heading and the end, the address far from both
+    rows += [(60 + i, f"Zebulon {' '.join(far[i:200])} zeb@clinic.org {' '.join(far[:200 - i])} zebulon") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for i in (60, 61):
+        assert texts[i].startswith("[TERM] ") and texts[i].endswith(" [TERM]") and "[EMAIL]" in texts[i]
+    assert all(texts[i] == t for i, t in rows[:60])
