@@ -115,8 +115,13 @@ def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> tuple[np.ndarray
     return keys, np.ascontiguousarray(bits).view(np.int64)
 
 
+def text_digest() -> list[Column]:
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, d1 and d2 (digest of the set), bands, sketch; null where the set is empty."""
+    """doc_id, t1 and t2 (digest of the text), n_shingles, d1 and d2 (digest of the set), bands, sketch; null where the set is empty."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -130,6 +135,8 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column(0).slice(a, b - a),
+                        "t1": batch.column(2).slice(a, b - a),
+                        "t2": batch.column(3).slice(a, b - a),
                         "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                         "d1": pa.array([d for d, _ in digests], pa.int64()),
                         "d2": pa.array([d for _, d in digests], pa.int64()),
@@ -138,7 +145,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     }
                 )
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>")
+    return map_batches(docs.select("doc_id", "text", *text_digest()), run, "doc_id long, t1 long, t2 long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>")
 
 
 def digest(s: np.ndarray) -> tuple[int | None, int | None]:
@@ -260,6 +267,12 @@ def unsettled(member: DataFrame, found: DataFrame, sketches: DataFrame) -> DataF
 
 def groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs (doc_id, text)."""
+    out = grouped(docs, width, percent, bands, rows).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def grouped(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, component (null where the set is empty), component_id: one row per row of docs."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(signatures(slim, width, bands, rows))
     # a class: all documents with one set; its number is its digest, its name its smallest doc_id
@@ -309,22 +322,30 @@ def groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int =
         found = components(links.union(fresh))
     of_class = classes.join(found.withColumnRenamed("node", "c"), "c", "left").select("c", "d2", "name", F.coalesce("component", "c").alias("component"))
     names = of_class.groupBy("component").agg(F.min("name").alias("component_id"))
-    named = of_class.join(names, "component").select(F.col("c").alias("d1"), "d2", "component_id")
-    full = signed.where("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"])
-    empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = full.select("doc_id", "n_shingles", "component_id").union(empty)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = of_class.join(names, "component").select(F.col("c").alias("d1"), "d2", "component", "component_id")
+    columns = ["doc_id", "t1", "t2", "n_shingles"]
+    full = signed.where("n_shingles > 0").select(*columns, "d1", "d2").join(named, ["d1", "d2"])
+    empty = signed.where("n_shingles = 0").select(*columns, F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return full.select(*columns, "component", "component_id").union(empty)
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs without all but one row of each group; an empty document is always kept."""
-    found = materialise(groups(docs, width, percent).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"))
-    out = docs.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
-    if not found.where("kept and n > 1").isEmpty():  # rows that share a doc_id are one document here: one text stays
-        order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        out = out.withColumn("place_in_id", F.row_number().over(order)).where("place_in_id = 1").drop("place_in_id")
-    return out
+    """docs without all but one row of each group, that of the smallest doc_id (null last); an empty document is always kept. Rows alike in doc_id and text are copies of one document; different texts are different documents, whatever their doc_id."""
+    found = materialise(grouped(docs, width, percent).groupBy("doc_id", "t1", "t2", "component").agg(F.count("*").alias("n")))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")
+    first = found.where("component is not null").groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    gone = found.join(sized(first), "component").where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("id of the row"), F.col("t1").alias("t1 of the row"), F.col("t2").alias("t2 of the row"))
+    t1, t2 = text_digest()
+    id_ = F.col("doc_id").cast("long")
+    of_row = id_.eqNullSafe(F.col("id of the row")) & (t1 == F.col("t1 of the row")) & (t2 == F.col("t2 of the row"))
+    out = docs.join(sized(materialise(gone)), of_row, "left_anti")
+    copies = found.where("n > 1").select(F.col("doc_id").alias("id of the row"), F.col("t1").alias("t1 of the row"), F.col("t2").alias("t2 of the row"))
+    if copies.isEmpty():
+        return out
+    keyed = out.join(sized(copies), of_row, "left")
+    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    once = keyed.where("`t1 of the row` is not null").dropDuplicates(["id of the row", "t1 of the row", "t2 of the row"])
+    return keyed.where("`t1 of the row` is null").select(*names).union(once.select(*names))
 
 
 #: groups() on two-word shingles, by comparing all pairs that share one.

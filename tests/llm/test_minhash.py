@@ -72,6 +72,15 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 2, 4]
 
 
+def test_keep_one_goes_by_rows(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1].upper()), (5, texts[2]), (5, texts[3]), (6, texts[3]), (7, "x y"), (7, "x y"), (None, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, (r.text or "").lower()) for r in minhash.keep_one(df).collect()]
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, "x y"), (None, ""), (8, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "a long, b long")
     got = dict(components(edges).collect())
