@@ -3,8 +3,9 @@
 The model predicts the letters of a word one by one, from up to four letters
 before, its start included, and then its end. A word equal to the word before it
 is one special letter, so that runs of one word are as improbable as they are in
-trusted text. Counts of words, n-grams and contexts are made by Spark over all
-trusted documents and shared out by key; there is no sample.
+trusted text. Counts of words, n-grams and contexts are made by Spark over two
+thirds of the trusted documents and shared out by key; the other third, by a hash
+of the id, is held out for the thresholds at every size.
 
 The logarithm of a back-off probability is a sum of one term for each n-gram
 that ends at a letter: for a known n-gram what it adds to its suffix, for a known
