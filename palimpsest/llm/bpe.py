@@ -4,10 +4,17 @@ The symbols of all new words of a batch lie in one flat array. A round looks up
 the rank of every changed pair by binary search over the sorted pair keys, takes
 each word's lowest rank and merges all of its places, left to right. Words that
 have no pair left leave the array. Whole texts are encoded; a word is encoded
-once per batch of documents and remembered in a bounded table.
+once per batch of documents and remembered in a table bounded in words and letters.
 
-Rows: a null or empty text has no tokens and decodes to the empty string; a null
-doc_id is kept; repeated rows are encoded one by one; extra columns are ignored.
+Letters and case are those of Python's Unicode tables. Texts with a character
+younger than Unicode 3.2, on which versions of these tables differ, are normalised
+by the tokenizer library, and their words with such characters split by it, so
+that results are equal for every code point.
+
+Rows: a null or empty text has no tokens and decodes to the empty string; a text
+of any length is one row, its words encoded together; a null doc_id is kept;
+equal pairs of one rank merge from the left; repeated rows are encoded one by
+one; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +31,19 @@ from pyspark.sql import DataFrame
 
 from palimpsest.llm.common import map_batches
 
-#: Words remembered by a worker before the table starts anew.
-CACHE_WORDS = 120_000
+#: Words, and letters in them, that a worker remembers before the table starts anew.
+CACHE_WORDS, CACHE_LETTERS = 120_000, 4_000_000
 NO_RANK = np.int32(2**31 - 1)
 SPACES = regex.compile(r"\p{White_Space}+")
 #: What str.split() takes for white space and Unicode does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
+def young_characters() -> np.ndarray:
+    """For each code point whether Unicode 3.2 leaves it unassigned: what became of it depends on the version of the tables."""
+    return np.array([unicodedata.ucd_3_2_0.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -65,6 +77,24 @@ class WordBpe:
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int32), made[order].astype(np.int32)
         self.made_by_rank = made.astype(np.int32)
         self.words: dict[str, tuple[str, int, str]] = {}
+        self.letters = 0
+        self.path, self.young, self._library = path, young_characters(), None
+
+    def is_young(self, text: str) -> bool:
+        """Whether a character of text is younger than Unicode 3.2."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return bool(self.young[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+        return False
+
+    @property
+    def library(self):
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NO_RANK where there is none."""
@@ -122,8 +152,12 @@ class WordBpe:
         pieces: list[bytes] = []
         last = [0]  # pieces up to each word
         for word in words:
-            for piece in [word] if word.isalpha() else self.pieces.findall(word):
-                pieces.append(piece.encode("utf-8", "surrogatepass"))
+            self.letters += len(word)
+            if self.is_young(word):
+                found = [word[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(word)]
+            else:
+                found = [word] if word.isalpha() else self.pieces.findall(word)
+            pieces += [piece.encode("utf-8", "surrogatepass") for piece in found]
             last.append(len(pieces))
         if not pieces:
             self.words |= dict.fromkeys(words, ("", 0, ""))
@@ -137,6 +171,8 @@ class WordBpe:
 
     def normalise(self, text: str) -> str:
         """NFC and lower case, letter by letter (a final sigma is no exception)."""
+        if self.is_young(text):
+            return self.library.normalizer.normalize_str(text)
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()
 
@@ -155,8 +191,8 @@ class WordBpe:
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: tokens, decimal ids joined by a space, decoded text."""
         split = [self.split(t) for t in texts]
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
+        if len(self.words) > CACHE_WORDS or self.letters > CACHE_LETTERS:
+            self.words, self.letters = {}, 0
         for content, i in self.special.items():
             self.words[f" {content}"] = str(i), 1, content
         self.learn({w for words in split for w in words}.difference(self.words))

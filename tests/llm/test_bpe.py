@@ -37,9 +37,30 @@ def test_random(both):
     agree(both, "".join(rnd.choice("abcdefghij") for _ in range(30_000)))
 
 
+def test_every_code_point(both):
+    theirs, ours = both
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not (0x20000 < c < 0xE0000 and c % 97)]
+    for wrap in ("a{}b", "{} e\u0301{}\u0301"):
+        texts = [wrap.format(c, c) for c in points]
+        for i in range(0, len(texts), 20_000):
+            part = texts[i : i + 20_000]
+            want = [e.ids for e in theirs.encode_batch(part, add_special_tokens=False)]
+            got = [list(map(int, ids.split())) for _, ids, _ in ours.encode_texts(part)]
+            assert [t for t, a, b in zip(part, want, got, strict=True) if a != b] == []
+
+
+def test_the_table_of_words_is_bounded(both, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_LETTERS", 1000)
+    ours = bpe.WordBpe(PATH)
+    for i in range(20):
+        list(ours.encode_texts([f"{i}" + "ab" * 300]))
+        assert ours.letters <= 1602
+
+
 def test_query(spark, both):
-    rows = [(1, "The cat\nsat"), (2, None), (None, ""), (1, "The cat\nsat")]
-    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "y"), PATH).collect()
+    rows = [(1, "The cat\nsat", 1, "a", "b"), (2, None, 2, "a", "b"), (None, "", 3, "a", "b"), (1, "The cat\nsat", 4, "a", "b")]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string, n_tokens long, ids string, decoded string"), PATH).collect()
+    rows = [r[:2] for r in rows]
     theirs = both[0]
     assert len(got) == 4
     for (doc, text), row in zip(rows, got, strict=True):
