@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when counted to have at most this many rows (a few
-#: tens of bytes each); beyond it the plan is an ordinary shuffle join.
-BROADCAST_ROWS = 1_000_000
+#: A side is broadcast only when measured to have at most this many rows and bytes;
+#: beyond it the plan is an ordinary shuffle join.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48_000_000
 #: Rows per Arrow batch. Texts may be long, so batches are short.
 ARROW_ROWS = 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it is a table of fewer parts than half of them (a single small file); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
 
 
 def settings(spark: SparkSession) -> None:
@@ -27,12 +34,13 @@ def settings(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only a session that has none (tests, a laptop) gets one of its own."""
+    """The folder that ``spark.checkpoint.dir`` names. Only a session without executors on other hosts may go without: it gets one of its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-        )
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -55,13 +63,31 @@ def reread(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+#: Bytes of a value of each type, its share of the row's overhead included; of strings and lists besides what they hold.
+WIDTHS = {"bigint": 12, "double": 12, "int": 8, "float": 8, "boolean": 6, "binary": 24, "string": 24}
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes in memory."""
+
+    def width(value: Column, kind: str) -> Column:
+        if kind.startswith("array<"):
+            inner = WIDTHS.get(kind[6:-1], 40)
+            return F.lit(24) + F.coalesce(F.size(value), F.lit(0)) * inner
+        held = F.coalesce(F.octet_length(value), F.lit(0)) if kind in ("string", "binary") else F.lit(0)
+        return F.lit(WIDTHS.get(kind, 64)) + held
+
+    return reduce(Column.__add__, (width(F.col(f"`{f.name}`"), f.dataType.simpleString()) for f in df.schema.fields))
+
+
 def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most ``most`` rows; reads no more than that."""
-    return df.limit(most + 1).count() <= most
+    """Whether df has at most ``most`` rows and BROADCAST_BYTES; reads no more rows than that."""
+    rows, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return rows <= most and size <= BROADCAST_BYTES
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted to be small, else unchanged."""
+    """df with a broadcast hint if it was measured to be small, else unchanged."""
     return F.broadcast(df) if is_small(df, most) else df
 
 

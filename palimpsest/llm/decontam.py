@@ -1,19 +1,21 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts and items are compared as lower-case words of letters and digits joined by
-single spaces. An item of m characters may differ by k = m // 16 edits. It is cut
-into k + 1 pieces; k edits leave one of them whole, so every occurrence within
-the budget holds an exact piece hit. One automaton finds the pieces of all items
-in a single pass over a text; each hit gives a window, and Myers' bit-parallel
-distance decides whether the item lies in it within the budget.
+single spaces. An item of m characters may differ by k = m // 16 edits; the spaces
+before and behind it count as part of it, so that an item without a budget is found
+as whole words only. It is cut into k + 1 pieces; k edits leave one of them whole,
+so every occurrence within the budget holds an exact piece hit. One automaton finds
+the pieces of all items in a single pass over a text; each hit gives a window, and
+Myers' bit-parallel distance decides how far the item is from the best part of it.
 
 The items are the query set. They go to the workers in blocks of bounded size;
 each block is matched against all rows, and rows are never shuffled.
 
-Rows: a null or wordless text has no items; repeated rows are judged one by one;
-items that are null or have no words match nothing; repeated items are each
-reported; a null item_id is left out of the list but still counts; extra columns
-are ignored, or kept by ``clean``.
+Rows: a null or wordless text has no items; a text of any length is searched whole;
+an item that occurs more than once counts with its least edits; repeated rows are
+judged one by one; items that are null or have no words match nothing; repeated
+items are each reported; a null item_id is left out of the list but still counts;
+extra columns, whatever their names, are ignored, or kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from palimpsest.llm.common import map_batches
 PER_EDIT = 16
 #: Characters of items in one block, and of texts that are matched against one block at a time.
 BLOCK_CHARS, TEXT_CHARS = 500_000, 8_000_000
+#: Automata that a worker keeps; with more blocks it makes them anew for each run of texts.
+KEPT_BLOCKS = 8
 #: ASCII characters other than letters and digits become spaces.
 TABLE = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -76,7 +80,7 @@ class Block:
     """An automaton over the pieces of some items."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.items = [(i, t, len(t) // PER_EDIT) for i, t in items]
+        self.items = [(i, f" {t} ", len(t) // PER_EDIT) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for n, (_, t, edits) in enumerate(self.items):
             for offset, piece in pieces(t, edits):
@@ -87,7 +91,8 @@ class Block:
         self.automaton.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int]]:
-        """(place of the item, edits) of each item within its budget in a normalised text: at its first window that holds it."""
+        """(place of the item, least edits) of each item within its budget in a normalised text."""
+        text = f" {text} "
         windows: dict[int, list[list[int]]] = {}
         for end, (length, at) in self.automaton.iter(text):
             for n, offset in at:
@@ -102,16 +107,10 @@ class Block:
         out = []
         for n, own in windows.items():
             _, item, edits = self.items[n]
-            seen = set()
-            for a, b in own:
-                part = text[a:b]
-                if part in seen:
-                    continue
-                seen.add(part)
-                distance = 0 if item in part else best_distance(item, part)
-                if distance <= edits:
-                    out.append((n, distance))
-                    break
+            parts = {text[a:b] for a, b in own}
+            least = 0 if any(item in part for part in parts) else min(best_distance(item, part) for part in parts)
+            if least <= edits:
+                out.append((n, least))
         return sorted(out)
 
 
@@ -139,7 +138,8 @@ def finder(shared: list):
         for k, values in enumerate(shared):
             block = ready.get(k)
             if block is None:
-                ready.clear()
+                if len(ready) >= KEPT_BLOCKS:
+                    ready.pop(next(iter(ready)))
                 block = ready[k] = Block(values.value)
             for own, text in zip(out, texts, strict=True):
                 if text:

@@ -49,15 +49,19 @@ def case():
 
 def test_against_brute_force(spark, case, monkeypatch):
     docs, items = case
-    want = {}
+    want, fewest = {}, {}
     for _, text in docs:
         t = d.normalise(text or "")
-        want[text] = [i for i, x in items if x and (n := d.normalise(x)) and least(n, t) <= len(n) // 16]
-    assert any(want.values())
-    for size in (500_000, 300):
+        own = [(i, least(f" {n} ", f" {t} "), len(n) // 16) for i, x in items if x and (n := d.normalise(x))]
+        want[text] = [i for i, edits, most in own if edits <= most]
+        fewest[text] = min((edits for _, edits, most in own if edits <= most), default=None)
+    assert any(want.values()) and any(fewest.values())
+    for size, kept in ((500_000, 8), (300, 2)):
         monkeypatch.setattr(d, "BLOCK_CHARS", size)
+        monkeypatch.setattr(d, "KEPT_BLOCKS", kept)
         got = d.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
         assert [(r.doc_id, r.items) for r in got] == [(i, sorted(x for x in want[t] if x is not None)) for i, t in docs]
+        assert [r.least_edits for r in got] == [fewest[t] for _, t in docs]
         assert all(r.n_items == len(want[t]) and r.contaminated == bool(want[t]) for r, (_, t) in zip(got, docs, strict=True))
 
 
@@ -70,6 +74,14 @@ def test_case_and_marks_do_not_hide_an_item(spark):
     assert out.schema == docs.schema and [r.doc_id for r in out.collect()] == [2]
 
 
+def test_the_least_edits_count_and_words_are_whole(spark):
+    item = "the quick brown fox jumps over the lazy dog again"
+    items = spark.createDataFrame([(1, item), (2, "no")], "item_id long, text string")
+    rows = [(1, item.replace("fox", "fix") + " and then " + item), (2, item.replace("fox", "fix") + " another note"), (3, "oh no!"), (4, "x" * 300_000 + " no " + "y" * 300_000)]
+    got = {r.doc_id: (r.items, r.least_edits) for r in d.find(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert got == {1: ([1], 0), 2: ([1], 1), 3: ([2], 0), 4: ([2], 0)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
