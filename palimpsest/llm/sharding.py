@@ -5,15 +5,18 @@ that still holds it, found in a balanced tree of remaining capacities. The
 capacity is the smallest at which the packing needs no more bins than asked for,
 found by bisection, so the shards' sizes are near equal.
 
-No list of all groups reaches the driver. A group counts on its own if it holds
-at least 1/ITEMS of all bytes, of which there can be ITEMS at most; the others
-fall into BUNDLES by hash, and a bundle is an item. So the driver packs at most
-ITEMS + BUNDLES items, whatever the input, and all rows are placed.
+Every group is packed. Groups of equal bytes are alike to the packing: the driver
+packs (bytes, number of groups) and gets how many of them each bin takes, which is
+what packing them one by one gives, as the tightest bin that holds one stays the
+tightest until it holds no other. B bytes have at most sqrt(2 B) different sizes,
+whatever the number of groups. Sizes that one bin takes whole go there by a join;
+the groups of the few sizes that bins share are numbered, in parts, and dealt by number.
 
 Rows: a null text counts as empty and has size 1; rows with equal texts are one
-group, whatever their doc_id, and never part; a null doc_id takes its place
-before the others; extra columns are ignored. A group larger than a fair share
-has a shard of its own, as it cannot be split.
+group, whatever their doc_id, and never part; groups of equal bytes are dealt in
+the order of a digest; a text of any length is one item; a null doc_id takes its
+place before the others; extra columns, whatever their names, are ignored. A group
+larger than a fair share has a shard of its own, as it cannot be split.
 """
 
 from __future__ import annotations
@@ -21,10 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialise
+from palimpsest.llm.common import materialise, sized
 
-ITEMS, BUNDLES = 16_384, 4_096
-#: Rows of one shard that are numbered by one task.
+#: Rows of one shard, or groups of one size, that are numbered by one task.
 SLOT_ROWS = 1_000_000
 
 
@@ -75,82 +77,109 @@ class CapacityTree:
         return node[0]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each size; sizes are in descending order. A size over the capacity gets a bin of its own."""
+Placed = list[tuple[int, int]]  # (bin, number of items)
+
+
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int) -> list[Placed]:
+    """How many items of each size go to which bin; sizes are (size, number of items) in descending order. A size over the capacity gets bins of its own."""
     tree, out, bins = CapacityTree(), [], 0
-    for size in sizes:
-        found = tree.take_tightest(size)
-        if found is None:
-            found = max(capacity, size), bins
-            bins += 1
-        out.append(found[1])
-        tree.add((found[0] - size, found[1]))
+    for size, n in sizes:
+        own: Placed = []
+        while n:
+            found = tree.take_tightest(size)
+            if found is None:
+                found = max(capacity, size), bins
+                bins += 1
+            take = min(n, found[0] // size)
+            own.append((found[1], take))
+            tree.add((found[0] - take * size, found[1]))
+            n -= take
+        out.append(own)
     return out
 
 
-def pack(sizes: list[int], bins: int) -> list[int]:
-    """The bin of each size (in descending order), at the smallest capacity found that needs ``bins`` bins at most.
+def pack(sizes: list[tuple[int, int]], bins: int) -> list[Placed]:
+    """best_fit_decreasing at the smallest capacity found that needs ``bins`` bins at most.
 
-    Sizes over a fair share of what is left get bins of their own first, so that
+    Items over a fair share of what is left get bins of their own first, so that
     they do not set the capacity of the other bins.
     """
-    alone, left = 0, sum(sizes)
-    while alone < min(len(sizes), bins - 1) and sizes[alone] * (bins - alone) > left:
-        left -= sizes[alone]
+    out: list[Placed] = [[] for _ in sizes]
+    rest = [[size, n, k] for k, (size, n) in enumerate(sizes)]
+    left, alone = sum(s * n for s, n in sizes), 0
+    while rest and alone < bins - 1 and rest[0][0] * (bins - alone) > left:
+        size, _, k = rest[0]
+        out[k].append((alone, 1))
+        left -= size
         alone += 1
-    rest, bins = sizes[alone:], bins - alone
-    own = list(range(alone))
+        rest[0][1] -= 1
+        if not rest[0][1]:
+            rest.pop(0)
     if not rest:
-        return own
-    low = max(rest[0], -(-left // bins))
+        return out
+    items, bins = [(s, n) for s, n, _ in rest], bins - alone
+    needed = lambda placed: 1 + max(b for of_size in placed for b, _ in of_size)
+    low = max(items[0][0], -(-left // bins))
     high = 2 * low
-    best = best_fit_decreasing(rest, high)
-    while max(best) >= bins:
+    best = best_fit_decreasing(items, high)
+    while needed(best) > bins:
         high *= 2
-        best = best_fit_decreasing(rest, high)
+        best = best_fit_decreasing(items, high)
     while low < high:
         middle = (low + high) // 2
-        found = best_fit_decreasing(rest, middle)
-        if max(found) < bins:
+        found = best_fit_decreasing(items, middle)
+        if needed(found) <= bins:
             best, high = found, middle
         else:
             low = middle + 1
-    return own + [alone + b for b in best]
+    for (_, _, k), of_size in zip(rest, best, strict=True):
+        out[k] += [(alone + b, n) for b, n in of_size]
+    return out
+
+
+def numbered(rows: DataFrame, of: str, order: list, parts: int) -> DataFrame:
+    """rows with ``place``, from 0 and gapless for each value of column ``of``; numbered inside parts by hash, which follow each other."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    sizes = dealt.groupBy(of, "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(of).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(of, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(of, "part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    placed = dealt.withColumn("place", F.row_number().over(inside) - 1)
+    return placed.join(sized(materialise(offsets)), [of, "part"]).withColumn("place", F.col("offset") + F.col("place")).drop("part", "offset")
 
 
 def shards(docs: DataFrame, bins: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of docs (doc_id, text)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.md5(text.cast("binary")).alias("group_key"),
+    rows = materialise(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.xxhash64(text).alias("g1"),
+            F.xxhash64(F.lit(1), text).alias("g2"),
+        )
     )
-    rows = materialise(rows.withColumn("bundle", F.pmod(F.xxhash64("group_key"), F.lit(BUNDLES)).cast("int")))
-    groups = rows.groupBy("group_key", "bundle").agg(F.sum("size").alias("bytes"))
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    least = max(1, -(-total // ITEMS))
-    groups = materialise(groups)
-    large = groups.where(F.col("bytes") >= least)  # at most ITEMS of them
-    small = groups.where(F.col("bytes") < least).groupBy("bundle").agg(F.sum("bytes").alias("bytes"))  # at most BUNDLES
-    items = [(r.bytes, r.group_key, None) for r in large.collect()] + [(r.bytes, None, r.bundle) for r in small.collect()]
-    items.sort(key=lambda x: (-x[0], x[1] or "", x[2] or 0))
-    placed = [(k, b, s) for (_, k, b), s in zip(items, pack([x[0] for x in items], bins), strict=True)]
-    of_group = spark.createDataFrame([(k, s) for k, b, s in placed if b is None], "group_key string, own int")
-    of_bundle = spark.createDataFrame([(b, s) for k, b, s in placed if k is None], "bundle int, shared int")
-    out = rows.join(F.broadcast(of_group), "group_key", "left").join(F.broadcast(of_bundle), "bundle", "left")
-    out = out.withColumn("shard", F.coalesce("own", "shared"))
-    # slots: rows are numbered inside sub-buckets, and these follow each other
-    parts = max(16, -(-count // SLOT_ROWS))
-    out = out.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(parts)).cast("int"))
-    sizes = out.groupBy("shard", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "part").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    numbered = out.withColumn("place", F.row_number().over(inside))
-    if bins * parts <= 1_000_000:
-        offsets = F.broadcast(offsets)
-    numbered = numbered.join(offsets, ["shard", "part"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    groups = materialise(rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes")))
+    sizes = sorted(((r.bytes, r["count"]) for r in groups.groupBy("bytes").count().collect()), reverse=True)  # at most sqrt(2 * all bytes) rows
+    placed = pack(sizes, bins)
+    whole = [(s, own[0][0]) for (s, _), own in zip(sizes, placed, strict=True) if len(own) == 1]
+    shared = []
+    for (s, _), own in zip(sizes, placed, strict=True):
+        if len(own) > 1:
+            first = 0
+            for b, n in own:
+                shared.append((s, b, first, first + n))
+                first += n
+    of_whole = spark.createDataFrame(whole, "bytes long, shard int")
+    of_shared = F.broadcast(spark.createDataFrame(shared, "bytes long, shard int, low long, high long"))  # at most bins rows for each shared size
+    split = F.broadcast(spark.createDataFrame(sorted({(r[0],) for r in shared}), "bytes long"))  # at most ``bins`` sizes, but for those of single groups
+    placed_whole = groups.join(sized(of_whole), "bytes").select("g1", "g2", "shard")
+    parts = max(16, -(-max((n for _, n in sizes), default=0) // SLOT_ROWS))
+    some = numbered(groups.join(split, "bytes", "left_semi"), "bytes", ["g1", "g2"], parts)
+    placed_shared = some.join(of_shared, "bytes").where("place >= low and place < high").select("g1", "g2", "shard")
+    out = rows.join(sized(materialise(placed_whole.union(placed_shared))), ["g1", "g2"])
+    parts = max(16, -(-rows.count() // SLOT_ROWS))
+    out = numbered(out, "shard", ["doc_id", "text_crc32", "size"], parts)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
