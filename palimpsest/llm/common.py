@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when measured to have at most this many rows and bytes;
 #: beyond it the plan is an ordinary shuffle join.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 16_000_000
 #: Rows per Arrow batch. Texts may be long, so batches are short.
 ARROW_ROWS = 400
 

@@ -1,115 +1,162 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model predicts the letters of a word one by one, from up to four letters
-before, its start included, and then its end. A word equal to the word before it
-is one special letter, so that runs of one word are as improbable as they are in
-trusted text. Counts of words, n-grams and contexts are made by Spark over two
-thirds of the trusted documents and shared out by key; the other third, by a hash
-of the id, is held out for the thresholds at every size.
-
-The logarithm of a back-off probability is a sum of one term for each n-gram
-that ends at a letter: for a known n-gram what it adds to its suffix, for a known
-context its back-off weight. So a word's score is the sum of the weights of its
-substrings of up to five letters, wherever they come from. Every n-gram keeps its
-own weight under its exact key, so the model grows with the corpus. As long as
-TABLE_KEYS bounds them, the weights go to the workers as a table whose size is
-counted; beyond that, distinct words are joined with their n-grams' weights by
-key, and the words of texts with the words' scores. Both give the same scores.
-
-A document's perplexity is per letter. The threshold of a language is a high
-quantile of the perplexities of trusted documents that the model has not seen
-(a third of them, by a hash of the id), moved on by its distance from the median; languages without LEAST_TRUSTED trusted documents
-share one threshold of all trusted documents.
-
-Rows: a text without words has no perplexity and is rejected; a null language is
-a language; repeated rows are judged one by one; with no trusted document at all
-nothing is rejected but texts without words; extra columns are ignored, or kept
-by ``accepted``.
+The model predicts the pieces of a text one by one, each from the piece before it.
+Pieces are those of a byte-level vocabulary, whose merges are public and fixed: a
+frequent word is one piece, any other is made of several, so there are no unknown
+words, and n-grams cross the borders of words. A word equal to the word before it
+is one piece, named after the number of repetitions so far and whether the word is
+one piece, so that runs of one word are as improbable as they are in trusted text.
+
+1. n-grams are counted over all trusted texts but a third of them, which is held
+   out for the thresholds at every size: partial counts where the texts are, joined
+   by key. Probabilities follow by joins with the totals of contexts and pieces, of
+   which there are no more than pieces in the vocabulary.
+2. The logarithm of a probability is a sum: of the last piece's, of the context's
+   back-off weight, and, if the n-gram is known, of what it adds to these. So a
+   text's score is the sum of count times weight over its distinct n-grams. Weights
+   of pieces and contexts, and of the n-grams that make up HEAD of all trusted ones
+   or more, go to the workers; their number is bounded by 1 / HEAD. All other
+   n-grams of texts are dealt to shards by a hash of the n-gram, and joined there
+   with the model's counts; sums go back to the texts. For this a block of texts
+   sends each shard one compressed list of its n-grams, and of the texts that have
+   them. What is gathered so grows with the corpus, and no key is folded or cut.
+3. A text's perplexity is per piece. The limit of a language is a high quantile of
+   the perplexities of trusted documents that the model has not seen; languages
+   with fewer than LEAST_TRUSTED of them share one limit of all trusted documents.
+   A text counts as if PRIOR pieces of the language's median stood before it.
+
+Rows: a text without words has no perplexity and is rejected; a text of any length
+is scored whole, as a block of its own if need be; a perplexity equal to the limit
+is accepted; a null language is a language; repeated rows are judged one by one and
+alike; with no trusted document at all nothing is rejected but texts without words;
+extra columns, whatever their names, are ignored, or kept by ``accepted``.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import base64
+import uuid
 from collections.abc import Iterable, Iterator
-from itertools import compress
-from operator import eq
+from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import chunks
-from palimpsest.llm.common import is_small, map_batches, materialise, sized
-from palimpsest.llm.minhash import mix
-
-ORDER = 5
-#: N-grams that go to the workers as a table; more are joined by key.
-TABLE_KEYS = 1 << 21
-#: Letters of a word that are scored together; longer words are cut.
-WORD_LETTERS = 64
-#: Words in a worker's table before it is handed on or starts anew.
-TABLE_WORDS = 100_000
-QUANTILE, MARGIN, LEAST_TRUSTED = 0.995, 1.0, 10
-#: Letters of the language's median that count with every text.
-PRIOR = 40
-START, END, SAME = "\x01", "\x03", "\x02"
-U = np.uint64
-
-
-def tokens(text: str) -> list[str]:
-    """Words; those of more than WORD_LETTERS letters in parts."""
-    words = text.split()
-    if any(len(w) > WORD_LETTERS for w in words):
-        words = [w[i : i + WORD_LETTERS] for w in words for i in range(0, len(w), WORD_LETTERS)]
-    return words
-
-
-def word_counts(trusted: DataFrame) -> DataFrame:
-    """word, n over all documents of trusted (text); repetitions are counted as SAME."""
+from palimpsest.llm.common import map_batches, materialise, reread, sized
+
+#: Splits a word into runs of letters, digits and marks, before the merges; a fixed value of the vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Least share of an n-gram among the trusted ones to go to all workers: at most 1 / HEAD do.
+HEAD = 2.0**-18
+#: Pieces and texts of a block; pieces and texts for which there is a shard, and a copy of the shards.
+BLOCK_PIECES, BLOCK_TEXTS, SHARD_PIECES, COPY_TEXTS = 3_000_000, 50_000, 8_000_000, 20_000_000
+#: Letters of a word that are merged together; words, and letters in them, that a worker remembers.
+WORD_LETTERS, CACHE_WORDS, CACHE_LETTERS = 1000, 200_000, 4_000_000
+#: Repetitions of a word that have pieces of their own; later ones share the last.
+REPEATS = 8
+QUANTILE, PRIOR, LEAST_TRUSTED = 0.995, 40, 10
+#: Trusted ids that are sent to all workers.
+IDS = 4_000_000
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+class Pieces:
+    """Texts as arrays of piece numbers."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.encoding = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.start = max(ranks.values()) + 1
+        self.symbols = self.start + 1 + 2 * REPEATS
+        if self.symbols > 1 << 16:
+            raise ValueError("a piece must be a number of 16 bits")
+        # a word like the one before it: by repetitions so far, first for words of one piece, then for longer ones
+        same = [np.uint16(self.start + 1 + i).tobytes() for i in range(2 * REPEATS)]
+        self.same = same[:REPEATS], same[REPEATS:]
+        self.words: dict[str, bytes] = {}
+        self.letters = 0
+
+    def word(self, word: str) -> bytes:
+        parts = [word[i : i + WORD_LETTERS] for i in range(0, len(word), WORD_LETTERS)]
+        ids = [i for k, p in enumerate(parts) for i in self.encoding.encode_ordinary(p if k else f" {p}")]
+        return np.array(ids, np.uint16).tobytes()
+
+    def of(self, text: str) -> np.ndarray:
+        if len(self.words) > CACHE_WORDS or self.letters > CACHE_LETTERS:
+            self.words, self.letters = {}, 0
+        words = text.split()
+        known = self.words
+        for w in set(words).difference(known):
+            known[w] = self.word(w)
+            self.letters += len(w)
+        out, before, run = [], "", 0
+        for w in words:
+            if w == before:
+                out.append(self.same[len(known[w]) > 2][min(run, REPEATS - 1)])
+                run += 1
+            else:
+                out.append(known[w])
+                before, run = w, 0
+        return np.frombuffer(b"".join(out), np.uint16)
+
+
+_PIECES: dict[str, Pieces] = {}
+
+
+def pieces(path: str) -> Pieces:
+    """One table of words for each worker process."""
+    if path not in _PIECES:
+        _PIECES[path] = Pieces(path)
+    return _PIECES[path]
+
+
+def bigrams(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, piece and number of the text of every place of texts."""
+    flat = np.concatenate([*texts, np.empty(0, np.uint16)]).astype(np.int64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    before = np.r_[start, flat[:-1]][: len(flat)]
+    first = np.cumsum(np.r_[0, lengths])[:-1][lengths > 0]
+    before[first] = start
+    return before, flat, np.repeat(np.arange(len(texts)), lengths)
+
+
+def counts_of(trusted: DataFrame, path: str) -> DataFrame:
+    """key (context * 2^16 + piece), n over all rows of trusted (text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        own, size, seen = pieces(path), 0, []
 
         def flush() -> pa.RecordBatch:
-            rows = [(w, n) for w, n in counts.items() if n > 0]
-            counts.clear()
-            return pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in rows], pa.string()), "n": pa.array([n for _, n in rows], pa.int64())})
+            before, flat, _ = bigrams(seen, own.start)
+            keys, n = np.unique(before << 16 | flat, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = tokens(text or "")
-                same = list(compress(words[1:], map(eq, words, words[1:])))
-                counts.update(words)
-                if same:
-                    counts.subtract(same)
-                    counts[SAME] += len(same)
-                if len(counts) > TABLE_WORDS:
+                seen.append(own.of(text or ""))
+                size += len(seen[-1])
+                if size >= BLOCK_PIECES:
                     yield flush()
+                    size, seen = 0, []
         yield flush()
 
-    return map_batches(trusted.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
+    return map_batches(trusted.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-def levels(words: DataFrame) -> list[DataFrame]:
-    """For each order from 1: g (n-gram) and a (count; below the top order, of distinct letters before it)."""
-    marked = words.where("n > 0").select(F.concat(F.lit(START), "word", F.lit(END)).alias("s"), "n")
-    at = marked.select("s", "n", F.explode(F.sequence(F.lit(2), F.length("s"))).alias("j"))
-    first = F.greatest(F.lit(1), F.col("j") - (ORDER - 1))
-    top = at.select(F.col("s").substr(first, F.col("j") - first + 1).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("a"))
-    top = materialise(top)
-    out = [top.where(F.length("g") == ORDER)]
-    for n in range(ORDER - 1, 0, -1):
-        after = out[0].groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count("*").alias("a"))
-        whole = top.where(F.length("g") == n)  # those at a word's start have no letter before them
-        out.insert(0, materialise(after.union(whole).groupBy("g").agg(F.sum("a").alias("a"))))
-    return out
 
-
-def discounts(level: DataFrame) -> tuple[float, float, float]:
+def discounts(of_count: dict[int, int]) -> tuple[float, float, float]:
     """Discounts of counts 1, 2 and 3 or more, from the counts of counts."""
-    n = {r.a: r["count"] for r in level.where("a <= 4").groupBy("a").count().collect()}
-    n1, n2, n3, n4 = (n.get(i, 0) for i in range(1, 5))
+    n1, n2, n3, n4 = (of_count.get(i, 0) for i in range(1, 5))
     if not (n1 and n2 and n3 and n4):
         return 0.5, 0.75, 0.9
     y = n1 / (n1 + 2 * n2)
@@ -117,261 +164,186 @@ def discounts(level: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), i - 0.05) for i, x in enumerate(d, 1))  # type: ignore[return-value]
 
 
-def train(words: DataFrame) -> tuple[DataFrame, float]:
-    """key, weight: what each n-gram adds to a word's log probability; and the log probability of an unknown letter."""
-    all_levels = levels(words)
-    weights: list[DataFrame] = []
-    lower: DataFrame | None = None
-    unknown = -20.0
-    for n, level in enumerate(all_levels, 1):
-        d1, d2, d3 = discounts(level)
-        cut = F.when(F.col("a") == 1, d1).when(F.col("a") == 2, d2).otherwise(d3)
-        if n == 1:
-            total, kinds, taken = level.agg(F.sum("a"), F.count("*"), F.sum(cut)).first()
-            if not total:
-                return level.select(F.col("g").alias("key"), F.lit(0.0).alias("weight")), unknown
-            rest = taken / total / (kinds + 1)
-            unknown = float(np.log(rest))
-            lower = materialise(level.select("g", "a", ((F.col("a") - cut) / total + rest).alias("p")))
-            weights.append(lower.select(F.col("g").alias("key"), F.log("p").alias("weight")))
-            continue
-        level = level.withColumn("h", F.expr("substring(g, 1, length(g) - 1)")).withColumn("cut", cut)
-        contexts = level.groupBy("h").agg(F.sum("a").alias("total"), (F.sum("cut") / F.sum("a")).alias("back"))
-        suffix = lower.select(F.col("g").alias("suffix"), F.col("p").alias("below"))
-        joined = level.join(contexts, "h").withColumn("suffix", F.expr("substring(g, 2)")).join(suffix, "suffix")
-        made = joined.select("g", "a", ((F.col("a") - F.col("cut")) / F.col("total") + F.col("back") * F.col("below")).alias("p"), (F.col("back") * F.col("below")).alias("q"))
-        lower = materialise(made)
-        weights.append(lower.select(F.col("g").alias("key"), F.log(F.col("p") / F.col("q")).alias("weight")))
-        weights.append(contexts.select(F.col("h").alias("key"), F.log("back").alias("weight")))
-    out = weights[0]
-    for w in weights[1:]:
-        out = out.union(w)
-    return out.groupBy("key").agg(F.sum("weight").alias("weight")), unknown
-
-
-def keys_of(codes: np.ndarray, starts: np.ndarray, letters: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order: the last places of the substrings that lie in one word, and their keys: their letters' ranks as the digits of one number, or 0 if a letter is not in letters (sorted)."""
-    n = len(codes)
-    since = np.arange(n) - np.repeat(starts, np.diff(np.r_[starts, n]))  # letters before, in the word
-    ranks = np.zeros(n, U)
-    if len(letters):
-        near = np.minimum(np.searchsorted(letters, codes), len(letters) - 1)
-        ranks = np.where(letters[near] == codes, near + 1, 0).astype(U)
-    base, rolled = U(len(letters) + 1), ranks
+class Model:
+    """Logarithms: of the probability of each piece and the back-off weight of each context (arrays), and key, n, weight of each known bigram (weights, a DataFrame)."""
+
+    def __init__(self, counts: DataFrame, symbols: int):
+        spark = counts.sparkSession
+        context, piece = F.shiftright("key", 16).alias("h"), F.col("key").bitwiseAND(0xFFFF).alias("w")
+        of_count = {r.n: r["count"] for r in counts.where("n <= 4").groupBy("n").count().collect()}
+        d = discounts(of_count)
+        # one row for each piece of the vocabulary at most
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        contexts = counts.groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut")).collect()
+        follow = {r.w: r.a for r in counts.groupBy(piece).agg(F.count("*").alias("a")).collect()}
+        self.total = sum(r.total for r in contexts)
+        a = np.zeros(symbols)
+        a[list(follow)] = list(follow.values())
+        e = discounts({i: int((a == i).sum()) for i in range(1, 5)})
+        taken = np.select([a == 0, a == 1, a == 2], [0.0, e[0], e[1]], e[2])
+        every = max(1.0, a.sum())
+        p = (a - taken) / every + (taken.sum() / every if self.total else 1.0) / (symbols - 1)  # all but the start
+        self.log_piece, self.log_back = np.log(p), np.zeros(symbols)
+        for r in contexts:
+            self.log_back[r.h] = np.log(r.cut / r.total)
+        of_context = F.broadcast(spark.createDataFrame([(r.h, r.total, r.cut / r.total) for r in contexts], "h long, total long, back double"))
+        of_piece = F.broadcast(spark.createDataFrame([(w, float(p[w])) for w in follow], "w long, p double"))
+        joined = counts.select("key", "n", context, piece).join(of_context, "h").join(of_piece, "w")
+        below = F.col("back") * F.col("p")
+        self.weights = joined.select("key", "n", F.log1p((F.col("n") - cut) / F.col("total") / below).alias("weight"))
+
+
+def shard_of(key, shards: int):
+    """The shard of a key, alike for a Column and for numbers; shards is odd."""
+    if isinstance(key, Column):
+        return F.pmod(key * 40503 + F.shiftright(key, 16) * 60493, F.lit(shards)).cast("int")
+    return (key * 40503 + (key >> 16) * 60493) % shards
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(b"".join(np.asarray(a, np.uint32).tobytes() for a in arrays))
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32).astype(np.int64)
+
+
+def block_of(texts: list[np.ndarray], model: dict, shards: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
+    """The part of each text's score that the workers know, and for each shard the other n-grams of the texts."""
+    before, flat, of = bigrams(texts, model["start"])
+    local = np.bincount(of, weights=model["log_piece"][flat] + model["log_back"][before], minlength=len(texts))
+    entries, times = np.unique((before << 16 | flat) << 24 | of, return_counts=True)
+    key, of = entries >> 24, entries & 0xFFFFFF
+    heads = model["heads"]
+    at = np.minimum(np.searchsorted(heads, key), max(0, len(heads) - 1))
+    head = heads[at] == key if len(heads) else np.zeros(len(key), bool)
+    local += np.bincount(of[head], weights=model["head_weights"][at[head]] * times[head], minlength=len(texts))
+    key, of, times = key[~head], of[~head], times[~head]
+    shard = shard_of(key, shards)
+    order = np.argsort(shard, kind="stable")
+    key, of, times, shard = key[order], of[order], times[order], shard[order]
+    bounds = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)] if len(shard) else np.zeros(1, int)
     out = []
-    for k in range(1, ORDER + 1):
-        if k > 1:
-            before = np.r_[np.zeros(1, U), rolled[:-1]][:n]
-            rolled = np.where((before > 0) & (ranks > 0), before * base + ranks, U(0))
-        last = np.flatnonzero(since >= k - 1)
-        out.append((last, rolled[last]))
-        rolled = np.where(since >= k - 1, rolled, U(0))
-    return out
+    for a, b in pairwise(bounds):
+        distinct, first = np.unique(key[a:b], return_index=True)
+        sizes = np.diff(np.r_[first, b - a])
+        out.append((int(shard[a]), packed([len(distinct)], np.diff(distinct, prepend=0), sizes, of[a:b], times[a:b])))
+    return local, out
 
 
-def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all words in one array, and where each word starts."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32), np.r_[0, np.cumsum(lengths)[:-1]]
+def sums_of(blob: bytes, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the texts of a block's list that have known n-grams, and the sums of their weights; keys are sorted."""
+    numbers = unpacked(blob)
+    n = numbers[0]
+    wanted, sizes = np.cumsum(numbers[1 : n + 1]), numbers[n + 1 : 2 * n + 1]
+    of, times = numbers[2 * n + 1 :].reshape(2, -1)
+    if not len(keys):
+        return of[:0], np.zeros(0)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    value = np.repeat(np.where(keys[at] == wanted, weights[at], 0.0), sizes) * times
+    known = np.unique(of[value != 0])
+    return known, np.bincount(of, weights=value, minlength=int(known[-1]) + 1)[known] if len(known) else np.zeros(0)
 
 
-def fits(model: DataFrame) -> bool:
-    """Whether the model may go to the workers: at most TABLE_KEYS n-grams, of so few letters that a number of 64 bits holds each."""
-    return is_small(model, TABLE_KEYS) and (model.where(F.length("key") == 1).count() + 1) ** ORDER < 2**64
+SCORED = "block long, shard int, blob binary, place int, doc_id long, lang string, t1 long, t2 long, score double, pieces long"
 
 
-def folded(model: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The letters of a model that fits(), the keys of its n-grams and their weights."""
-    letters = np.sort(np.array([ord(r.key) for r in model.where(F.length("key") == 1).select("key").collect()], np.uint32))
+def blocks(docs: DataFrame, model: dict, path: str, shards: int) -> DataFrame:
+    """Rows of texts (block, place, doc_id, lang, t1, t2, score so far, pieces) and of lists for shards (block, shard, blob); docs has doc_id, lang, t1, t2, text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [c.split()[0] for c in SCORED.split(", ")]
+    types = {"shard": pa.int32(), "blob": pa.binary(), "place": pa.int32(), "lang": pa.string(), "score": pa.float64()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows, texts, size = pieces(path), [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            block = uuid.uuid4().int >> 65
+            local, lists = block_of(texts, shared.value, shards)
+            out = [(block, None, None, i, *r, float(s), len(t)) for i, (r, s, t) in enumerate(zip(rows, local, texts, strict=True))]
+            out += [(block, shard, blob, *[None] * 7) for shard, blob in lists]
+            return pa.RecordBatch.from_arrays([pa.array(c, types.get(name, pa.int64())) for name, c in zip(names, zip(*out, strict=True), strict=True)], names)
+
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            if not keys:
-                continue
-            lengths = np.array([len(k) for k in keys])
-            ends = np.cumsum(lengths) - 1
-            own = np.zeros(len(keys), U)
-            for k, (last, found) in enumerate(keys_of(*codes_of(keys), letters), 1):
-                where = np.zeros(ends[-1] + 1, U)
-                where[last] = found
-                own[lengths == k] = where[ends[lengths == k]]
-            yield pa.RecordBatch.from_pydict({"key": pa.array(own.view(np.int64)), "weight": batch.column(1)})
-
-    rows = map_batches(model.select("key", F.col("weight").cast("float")), run, "key long, weight float").toPandas()  # at most TABLE_KEYS rows
-    return letters, rows["key"].to_numpy(np.int64).view(U), rows["weight"].to_numpy(np.float32)
-
-
-class Table:
-    """Weights by key, with open addressing; at most half of its places are taken. Key 0 is never found."""
-
-    def __init__(self, keys: np.ndarray, weights: np.ndarray):
-        size = 1 << max(4, (2 * len(keys)).bit_length())
-        self.mask = U(size - 1)
-        self.keys, self.weights = np.zeros(size, U), np.zeros(size, np.float32)
-        left, at = np.arange(len(keys)), mix(keys) & self.mask
-        while len(left):
-            free = self.keys[at] == 0
-            self.keys[at[free]] = keys[left[free]]
-            done = self.keys[at] == keys[left]
-            self.weights[at[done]] = weights[left[done]]
-            left, at = left[~done], (at[~done] + U(1)) & self.mask
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The weight of each key, NaN where there is none."""
-        out = np.full(len(keys), np.nan)
-        left = np.flatnonzero(keys)
-        at = mix(keys[left]) & self.mask
-        while len(left):
-            there = self.keys[at]
-            same = there == keys[left]
-            out[left[same]] = self.weights[at[same]]
-            on = ~same & (there != 0)
-            left, at = left[on], (at[on] + U(1)) & self.mask
-        return out
-
-
-class Scorer:
-    """Log probabilities of words from a table of weights, remembered in a bounded table."""
-
-    def __init__(self, model: tuple[np.ndarray, np.ndarray, np.ndarray], unknown: float):
-        self.alphabet, self.table, self.unknown = model[0], Table(*model[1:]), unknown
-        self.place: dict[str, int] = {}
-        self.score, self.letters = np.zeros(0), np.zeros(0)
-
-    def log_probabilities(self, words: list[str]) -> np.ndarray:
-        marked = [f"{START}{w}{END}" for w in words]
-        codes, starts = codes_of(marked)
-        total = np.zeros(len(codes))
-        first = np.zeros(len(codes), bool)
-        first[starts] = True
-        for k, (last, keys) in enumerate(keys_of(codes, starts, self.alphabet), 1):
-            found = self.table.find(keys)
-            if k == 1:
-                # the start is not predicted, but it is a context
-                found = np.where(np.isnan(found), np.where(first[last], 0, self.unknown), found)
-            total[last] += np.nan_to_num(found)
-        return np.add.reduceat(total, starts)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.place) > TABLE_WORDS:
-            self.place, self.score, self.letters = {}, np.zeros(0), np.zeros(0)
-        new = [SAME] * (SAME not in self.place) + list(words.difference(self.place))
-        if new:
-            n = len(self.place)
-            self.place.update({w: n + i for i, w in enumerate(new)})
-            self.score = np.r_[self.score, self.log_probabilities(new)]
-            self.letters = np.r_[self.letters, [len(w) + 1 for w in new]]
-
-    def bits(self, texts: list[str]) -> list[tuple[float | None, int]]:
-        """The mean negative log2 probability of a letter of each text, and the letters (ends of words included)."""
-        split = [tokens(t) for t in texts]
-        known = {w for words in split for w in words}
-        if len(self.place) > TABLE_WORDS:
-            self.place = {}
-            self.score, self.letters = np.zeros(0), np.zeros(0)
-        self.learn(known)
-        out: list[tuple[float | None, int]] = []
-        for words in split:
-            if not words:
-                out.append((None, 0))
-                continue
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            at[1:][at[1:] == at[:-1]] = self.place[SAME]
-            letters = int(self.letters[at].sum())
-            out.append((float(-self.score[at].sum() / letters / np.log(2)), letters))
-        return out
+            for *row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows.append(row)
+                texts.append(own.of(text or ""))
+                size += len(texts[-1])
+                if size >= BLOCK_PIECES or len(texts) >= BLOCK_TEXTS:
+                    yield flush()
+                    rows, texts, size = [], [], 0
+        if rows:
+            yield flush()
+
+    return map_batches(docs.select("doc_id", "lang", "t1", "t2", "text"), run, SCORED)
+
+
+def joined(scored: DataFrame, weights: DataFrame, shards: int, copies: int) -> DataFrame:
+    """doc_id, lang, t1, t2, score, pieces of each text: the lists of blocks() joined with weights (key, weight) shard by shard, and the sums brought back to the blocks."""
+
+    def join(lists: pa.Table, model: pa.Table) -> pa.Table:
+        keys, weight = (model.column(c).to_numpy() for c in ("key", "weight"))
+        order = np.argsort(keys)
+        keys, weight = keys[order], weight[order]
+        out = []
+        for block, blob in zip(*(lists.column(c).to_pylist() for c in ("block", "blob")), strict=True):
+            of, sums = sums_of(blob, keys, weight)
+            if len(of):
+                out.append((block, of.astype(np.int32).tobytes(), sums.tobytes()))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["block", "of", "sums"])
+
+    def add(texts: pa.Table, found: pa.Table) -> pa.Table:
+        place = texts.column("place").to_numpy()
+        score = np.zeros(place.max(initial=-1) + 1)
+        score[place] = texts.column("score").to_numpy()
+        for of, sums in sorted(zip(*(found.column(c).to_pylist() for c in ("of", "sums")), strict=True)):
+            score[np.frombuffer(of, np.int32)] += np.frombuffer(sums)
+        return texts.select(["doc_id", "lang", "t1", "t2"]).append_column("score", pa.array(score[place])).append_column("pieces", texts.column("pieces"))
+
+    copy = F.pmod(F.col("block"), F.lit(copies)).cast("int").alias("copy")
+    lists = scored.where("shard is not null").select("shard", copy, "block", "blob")
+    model = weights.select(shard_of(F.col("key"), shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "key", "weight")
+    found = lists.groupBy("shard", "copy").cogroup(model.groupBy("shard", "copy")).applyInArrow(join, "block long, of binary, sums binary")
+    texts = scored.where("shard is null").drop("shard", "blob")
+    return texts.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(add, "doc_id long, lang string, t1 long, t2 long, score double, pieces long")
 
 
 def trusted_ids(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ids of trusted documents: two thirds train the model, the others, which it has not seen, set the thresholds."""
     own = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
     unseen = F.crc32(F.col("trusted_id").cast("string").cast("binary")) % 3 == 0
-    return sized(own.where(~unseen)), sized(own.where(unseen))
+    return sized(own.where(~unseen), IDS), sized(own.where(unseen), IDS)
 
 
-def perplexities(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All columns of docs with bits (per letter) behind them, and the ids of trusted documents that the model has not seen. docs has doc_id, text and lang."""
-    context = docs.sparkSession.sparkContext
+def perplexities(docs: DataFrame, labels: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """doc_id, lang, t1, t2, bits (per piece), pieces of each row of docs (doc_id, lang, t1, t2, text), and the ids of trusted documents that the model has not seen."""
     seen, unseen = trusted_ids(labels)
-    trusted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(seen, F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    model, unknown = train(materialise(word_counts(trusted)))
-    model = materialise(model)
-    if not fits(model):
-        return joined_bits(docs, model, unknown), unseen
-    shared = context.broadcast(folded(model))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value, unknown)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in chunks(texts):
-                part, found = batch.slice(a, b - a), scorer.bits(texts[a:b])
-                own = [pa.array([x for x, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own], names=[*part.schema.names[:-1], BITS, LETTERS])
-
-    own = docs.select("*", F.col("text").cast("string").alias("text to score"))
-    fields = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{BITS}` double", f"`{LETTERS}` long"])
-    return map_batches(own, run, fields), unseen
-
-
-#: Names that no column of documents has.
-BITS, LETTERS = "bits per letter", "letters scored"
-
-
-def word_scores(words: DataFrame, model: DataFrame, unknown: float) -> DataFrame:
-    """word, score: the log probability of each of words (word), from the weights of its n-grams joined by key."""
-    s = F.concat(F.lit(START), "word", F.lit(END))
-    at = words.select("word", s.alias("s"), F.explode(F.sequence(F.lit(1), F.length("word") + 2)).alias("j"))
-    grams = at.select("word", "j", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(ORDER), F.col("j")))).alias("k"))
-    grams = grams.select("word", (F.col("j") > 1).alias("predicted"), F.col("s").substr(F.col("j") - F.col("k") + 1, F.col("k")).alias("key"))
-    found = grams.join(sized(model), "key", "left")
-    # the start is not predicted, but it is a context
-    none = F.when((F.length("key") == 1) & F.col("predicted"), unknown).otherwise(0.0)
-    return found.groupBy("word").agg(F.sum(F.coalesce("weight", none)).alias("score"))
-
-
-def joined_bits(docs: DataFrame, model: DataFrame, unknown: float) -> DataFrame:
-    """perplexities() by joins: distinct words with the model, the words of texts with their scores, docs with their texts."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in chunks(texts):
-                out: list[list] = [[], [], [], []]
-                for t1, t2, text in zip(batch.column(0)[a:b].to_pylist(), batch.column(1)[a:b].to_pylist(), texts[a:b], strict=True):
-                    words = tokens(text)
-                    own = Counter(SAME if i and w == words[i - 1] else w for i, w in enumerate(words))
-                    own[""] = 1  # counts the rows of one text
-                    for column, values in zip(out, ([t1] * len(own), [t2] * len(own), own.keys(), own.values()), strict=True):
-                        column.extend(values)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["t1", "t2", "word", "n"])
-
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    t1, t2 = F.xxhash64(text), F.xxhash64(F.lit(1), text)
-    keyed = docs.select(t1.alias("t1"), t2.alias("t2"), text.alias("text"))
-    counts = materialise(map_batches(keyed, run, "t1 long, t2 long, word string, n long"))
-    scores = materialise(word_scores(counts.select("word").distinct(), model, unknown))
-    copies, n = F.sum(F.when(F.col("word") == "", 1)), F.when(F.col("word") != "", F.col("n"))
-    letters = F.sum(n * (F.length("word") + 1))
-    of_text = counts.join(sized(scores), "word").groupBy("t1", "t2").agg((-F.sum(n * F.col("score")) / letters / F.log(F.lit(2.0))).alias(BITS), (letters / copies).cast("long").alias(LETTERS))
-    of_text = materialise(of_text).withColumnsRenamed({"t1": "t1 of the text", "t2": "t2 of the text"})
-    same = (t1 == F.col("t1 of the text")) & (t2 == F.col("t2 of the text"))
-    columns = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
-    return docs.join(sized(of_text), same, "left").select(*columns, BITS, F.coalesce(LETTERS, F.lit(0).cast("long")).alias(LETTERS))
-
-
-def steadied(bits: Column, letters: Column, median: Column) -> Column:
-    """bits of a text as if PRIOR letters of the median stood before it, so that a short text is not judged by a few letters."""
-    return (bits * letters + median * PRIOR) / (letters + PRIOR)
+    trusted = docs.join(seen, F.col("doc_id") == F.col("trusted_id"), "left_semi")
+    own = pieces(path)
+    model = Model(materialise(counts_of(trusted, path)), own.symbols)
+    weights = materialise(model.weights)
+    least = max(2, int(np.ceil(HEAD * model.total)))
+    heads = weights.where(F.col("n") >= least).select("key", "weight").toPandas().sort_values("key")  # at most 1 / HEAD rows
+    known = {"start": own.start, "log_piece": model.log_piece, "log_back": model.log_back, "heads": heads["key"].to_numpy(np.int64), "head_weights": heads["weight"].to_numpy(np.float64)}
+    n = docs.count()
+    share = max(1, trusted.count()) / max(1, n)
+    shards = int(model.total / share / SHARD_PIECES) // 2 * 2 + 33
+    scored = reread(blocks(docs, known, path, shards))
+    out = joined(scored, weights.where(F.col("n") < least).select("key", "weight"), shards, 1 + n // COPY_TEXTS)
+    bits = F.when(F.col("pieces") > 0, -F.col("score") / F.col("pieces") / F.log(F.lit(2.0)))
+    return out.select("doc_id", "lang", "t1", "t2", bits.alias("bits"), "pieces"), unseen
+
+
+def steadied(bits: Column, pieces_: Column, median: Column) -> Column:
+    """bits of a text as if PRIOR pieces of the median stood before it, so that a short text is not judged by a few pieces."""
+    return (bits * pieces_ + median * PRIOR) / (pieces_ + PRIOR)
 
 
 def thresholds(scored: DataFrame, ids: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
-    """limit_lang, middle (median) and limit of each language, and both for all others; scored has doc_id, lang, bits, letters."""
+    """limit_lang, middle (median) and limit of each language, and both for all others; scored has doc_id, lang, bits, pieces."""
     own = scored.where("bits is not null").join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
     middle = F.percentile_approx("bits", 0.5, 10_000)
-    high = F.percentile_approx(steadied(F.col("bits"), F.col("letters"), F.col("middle")), QUANTILE, 10_000)
-    limit = (high + MARGIN * (high - F.col("middle"))).alias("limit")
+    limit = F.percentile_approx(steadied(F.col("bits"), F.col("pieces"), F.col("middle")), QUANTILE, 10_000).alias("limit")
     medians = own.groupBy("lang").agg(middle.alias("middle"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED)
     medians = medians.select(F.col("lang").alias("limit_lang"), "middle")
     by = own.join(sized(medians), F.col("lang").eqNullSafe(F.col("limit_lang"))).groupBy("limit_lang", "middle").agg(limit)
@@ -382,27 +354,28 @@ def thresholds(scored: DataFrame, ids: DataFrame) -> tuple[DataFrame, tuple[floa
     return by, (float(centre), float(rest["limit"]))
 
 
-def verdict(scored: DataFrame, ids: DataFrame, all_of: DataFrame | None = None) -> DataFrame:
-    """scored (doc_id, lang, bits, letters), or all_of with the same columns, with limit and accepted."""
+def verdicts(docs: DataFrame, labels: DataFrame, path: str | None) -> DataFrame:
+    """doc_id, lang, t1, t2, bits, pieces, limit, accepted of each row of docs (doc_id, text, lang)."""
+    text = F.col("text").cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+    scored, ids = perplexities(slim, labels, path or vocabulary())
+    scored = materialise(scored)
     by, (middle, limit) = thresholds(scored, ids)
-    out = (scored if all_of is None else all_of).join(sized(by), F.col("lang").eqNullSafe(F.col("limit_lang")), "left")
+    out = scored.join(sized(by), F.col("lang").eqNullSafe(F.col("limit_lang")), "left")
     out = out.withColumn("limit", F.coalesce("limit", F.lit(limit))).withColumn("middle", F.coalesce("middle", F.lit(middle)))
-    return out.withColumn("accepted", F.coalesce(steadied(F.col("bits"), F.col("letters"), F.col("middle")) <= F.col("limit"), F.lit(False)))
+    return out.withColumn("accepted", F.coalesce(steadied(F.col("bits"), F.col("pieces"), F.col("middle")) <= F.col("limit"), F.lit(False)))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity (per letter), threshold, accepted: a row per row of docs (doc_id, text, lang)."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    scored, ids = perplexities(slim, labels)
-    scored = materialise(scored.select("doc_id", "lang", F.col(BITS).alias("bits"), F.col(LETTERS).alias("letters")))
+def classify(docs: DataFrame, labels: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, lang, n_pieces, perplexity (per piece), threshold, accepted: a row per row of docs (doc_id, text, lang). path names the vocabulary of pieces."""
     power = lambda c: F.round(F.pow(F.lit(2.0), F.col(c)), 6)
-    return verdict(scored, ids).select("doc_id", "lang", power("bits").alias("perplexity"), power("limit").alias("threshold"), "accepted")
+    return verdicts(docs, labels, path).select("doc_id", "lang", F.col("pieces").alias("n_pieces"), power("bits").alias("perplexity"), power("limit").alias("threshold"), "accepted")
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, path: str | None = None) -> DataFrame:
     """The rows of docs that classify() accepts, all of their columns."""
-    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    scored, ids = perplexities(packed, labels)
-    scored = scored.withColumnsRenamed({BITS: "bits", LETTERS: "letters"})
-    slim = materialise(scored.select("doc_id", "lang", "bits", "letters"))
-    return verdict(slim, ids, scored.select("row", "doc_id", "lang", "bits", "letters")).where("accepted").select("row.*")
+    gone = verdicts(docs, labels, path).where("not accepted").select(*(F.col(c).alias(f"{c} of the row") for c in ("doc_id", "lang", "t1", "t2"))).distinct()
+    text = F.col("text").cast("string")
+    own = {"doc_id": F.col("doc_id").cast("long"), "lang": F.col("lang").cast("string"), "t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
+    same = reduce(Column.__and__, (value.eqNullSafe(F.col(f"{c} of the row")) for c, value in own.items()))
+    return docs.join(sized(materialise(gone)), same, "left_anti")
