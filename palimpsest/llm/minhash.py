@@ -17,7 +17,7 @@ documents that share a band are compared, on their full shingle sets.
    with each other, each pair once, on their full sets; nothing but a size that
    rules a link out keeps a pair from it. So no link between different texts that
    share a band is lost; members of one component need no comparison. In a bucket of
-   more than BLOCK classes this is done for blocks of classes, not for rows of pairs.
+   more than PAIRED classes this is done for blocks of classes, not for rows of pairs.
 
 With 6 values a band and 48 bands a pair of similarity 0.8 shares no band with
 probability (1 - 0.8^6)^48 < 5e-7. There are no caps on buckets or partners.
@@ -47,8 +47,8 @@ from palimpsest.llm.components import components
 BANDS, ROWS = 48, 6
 #: Before the last step, so often each class that is left is compared with so many of the main component's.
 TURNS, CENTRES = 1, 16
-#: Classes, and shingles in them, of a block; buckets of at most one block are joined pair by pair.
-BLOCK, BLOCK_SHINGLES = 64, 2_000_000
+#: Buckets of at most PAIRED classes are joined pair by pair; classes, and shingles in them, of a block of a larger one.
+PAIRED, BLOCK, BLOCK_SHINGLES = 64, 512, 2_000_000
 #: Partners that are compared with one copy of a set.
 PARTNERS = 256
 #: Rows of a class, or classes of a component, from which their join is split.
@@ -325,14 +325,15 @@ def grouped(texts: DataFrame, signed: DataFrame, width: int, percent: int) -> Da
         links = links.union(fresh)
         found = compact(components(links))
     open_ = compact(unsettled(member, found))
-    # small buckets: at most BLOCK partners for a class
-    left = open_.where("parts = 1 and g <> main").select(*(F.col(x).alias(f"{x}_a") for x in ("key", "c", "g", "n", "main")))
-    right = open_.where("parts = 1").select("key", *(F.col(x).alias(f"{x}_b") for x in ("c", "g", "n")))
+    # small buckets: at most PAIRED partners for a class
+    small = F.col("k") <= PAIRED
+    left = open_.where(small & F.expr("parts = 1 and g <> main")).select(*(F.col(x).alias(f"{x}_a") for x in ("key", "c", "g", "n", "main")))
+    right = open_.where(small & F.expr("parts = 1")).select("key", *(F.col(x).alias(f"{x}_b") for x in ("c", "g", "n")))
     different = (F.col("g_a") != F.col("g_b")) & ((F.col("c_a") < F.col("c_b")) | (F.col("g_b") == F.col("main_a")))
     few = left.join(right, (F.col("key_a") == F.col("key")) & different & near(F.col("n_a"), F.col("n_b")))
     few = compact(few.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct())
     # large ones: block by block
-    large = open_.where("parts > 1").withColumn("w", part(F.col("parts"))).withColumn("v", part(F.col("parts_out"))).join(bands_of, "c")
+    large = open_.where(~small | F.expr("parts > 1")).withColumn("w", part(F.col("parts"))).withColumn("v", part(F.col("parts_out"))).join(bands_of, "c")
     left = large.where("g <> main").select("key", F.col("v").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("y"), "c", "g", "bands")
     right = large.select("key", F.explode(F.sequence(F.lit(0), F.col("parts_out") - 1)).alias("x"), F.col("w").alias("y"), "c", "g", "bands")
     fresh = compact(confirm(few, sets, percent).union(blockwise(left, right, sets, percent, first=True)))

@@ -65,7 +65,7 @@ def test_odd_rows(spark):
     assert minhash.groups(df.limit(0), 2).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{"BLOCK": 4, "PARTNERS": 3, "HEAVY": 2}, {"BLOCK_SHINGLES": 300}])
+@pytest.mark.parametrize("limits", [{"PAIRED": 3, "BLOCK": 4, "PARTNERS": 3, "HEAVY": 2}, {"BLOCK_SHINGLES": 300}, {"PAIRED": 0}])
 def test_small_blocks_and_no_broadcasts(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(minhash, name, value)
