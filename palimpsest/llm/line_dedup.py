@@ -2,26 +2,30 @@
 
 A line is what newlines separate, without spaces at its ends; its words are what single spaces
 separate; empty lines stay. A line goes if an earlier line (by doc_id, then place)
-is equal to it, or lies within one edit of a whole word (one word inserted,
-deleted or replaced) and both have at least NEAR_WORDS words.
+is equal to it, or lies within one edit: of a whole word (one word inserted, deleted
+or replaced) if both have at least NEAR_WORDS words, of a letter if both have fewer
+words and at least NEAR_LETTERS letters. So an edited letter counts at any length,
+unless it is a space that makes two words of one in a long line.
 
 1. Equal lines are counted by a 128-bit hash, with map-side combining; the
    earliest place is looked for among the lines that occur twice or more.
-2. An edit leaves the first or the last half of a line whole. Lines that share no
-   half with another distinct line have no neighbour and need no variants; halves
-   are measured in lengths of 5, 10, 20, ... words, and lines near a step of that
-   scale take both lengths.
-3. The others emit one hashed key per deleted word, and one for the whole line.
-   The key of a variant is the exclusive or of the hashes of the words with their
+2. The units of a line are its words, or the letters of a short line. An edit leaves
+   the first or the last half of the units whole. Lines that share no half with
+   another distinct line have no neighbour and need no variants; halves are measured
+   in lengths of 5, 10, 20, ... units, and lines near a step of that scale take both
+   lengths.
+3. The others emit one hashed key per deleted unit, and one for the whole line.
+   The key of a variant is the exclusive or of the hashes of the units with their
    places, so that all keys of a line take time in proportion to its length.
 4. In a bucket of equal keys, lines that lack the same place differ by one
-   replaced word, and a whole line differs from a variant's line by one inserted
-   word. So the earliest of either kind is all a line must be compared with: no
-   pairs of a bucket are formed. The words of both lines then verify the distance.
-
-Rows: a null text has no lines and stays null; rows alike in doc_id and text are
-copies of one document, they keep and lose the same lines; a null doc_id comes
-first; extra columns are kept by ``deduplicate``.
+   replaced unit, and a whole line differs from a variant's line by one inserted
+   unit. So the earliest of either kind is all a line must be compared with: no
+   pairs of a bucket are formed. The units of both lines then verify the distance.
+
+Rows: a null text has no lines and stays null; a line of any length takes part whole;
+rows alike in doc_id and text are copies of one document, they keep and lose the same
+lines; of different texts with one doc_id a hash decides which is earlier; a null
+doc_id comes first; extra columns, whatever their names, are kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -31,12 +35,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialise, sized
 
-#: Lines with fewer words go only if they are equal to an earlier one.
-NEAR_WORDS = 11
+#: Lines of so many words may differ by a word, shorter ones of so many letters by a letter.
+NEAR_WORDS, NEAR_LETTERS = 11, 16
 
 
 def half(n: Column) -> Column:
-    """Words of a line's half: the largest of 5, 10, 20, ... up to (n - 1) / 2."""
+    """Units of a line's half: the largest of 5, 10, 20, ... up to (n - 1) / 2."""
     steps = F.floor(F.log2((n - 1) / F.lit(10.0)) + F.lit(1e-9))
     return (F.lit(5) * F.pow(F.lit(2.0), F.greatest(steps, F.lit(0)))).cast("int")
 
@@ -57,19 +61,35 @@ PLACE = ("doc_id", "t", "pos")
 HALVES = ("head", "tail", "head_up", "tail_up")
 
 
+def by_words(line: Column) -> Column:
+    """Whether the units of a line are its words."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1 >= NEAR_WORDS
+
+
+def size(line: Column) -> Column:
+    """Units of a line."""
+    words = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return F.when(words >= NEAR_WORDS, words).otherwise(F.length(line))
+
+
+def units(line: Column, words: Column) -> Column:
+    return F.when(words, F.split(line, " ")).otherwise(F.regexp_extract_all(line, F.lit("(?s)."), F.lit(0)))
+
+
 def distinct_lines(slim: DataFrame) -> DataFrame:
     """h1, h2, copies and the hashes of the first and last halves of each distinct line; those one step up are null for most."""
-    n = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1
-    own = lines(slim).select("line", n.alias("n"))
-    own = own.select("line", half(F.greatest(F.col("n") - 1, F.lit(NEAR_WORDS))).alias("h"), half(F.col("n") + 1).alias("up"), "n")
-    part = lambda name, h: F.xxhash64(F.lit(name), F.call_function("substring_index", F.col("line"), F.lit(" "), h))
-    near, up = F.col("n") >= NEAR_WORDS, (F.col("up") != F.col("h")) & (F.col("up") * 2 <= F.col("n"))
+    own = lines(slim).select("line", by_words(F.col("line")).alias("words"), size(F.col("line")).alias("n"))
+    own = own.select("line", "words", half(F.greatest(F.col("n") - 1, F.lit(NEAR_WORDS))).alias("h"), half(F.col("n") + 1).alias("up"), "n")
+    words = lambda h: F.call_function("substring_index", F.col("line"), F.lit(" "), h)
+    letters = lambda h: F.when(h > 0, F.substring(F.col("line"), F.lit(1), h)).otherwise(F.substring(F.col("line"), h, -h))
+    part = lambda name, h: F.when(F.col("words"), F.xxhash64(F.lit(name), words(h))).otherwise(F.xxhash64(F.lit(name), F.lit(0), letters(h)))
+    near, up = F.col("words") | (F.col("n") >= NEAR_LETTERS), (F.col("up") != F.col("h")) & (F.col("up") * 2 <= F.col("n"))
     halves = [F.when(near, part("head", F.col("h"))), F.when(near, part("tail", -F.col("h"))), F.when(near & up, part("head", F.col("up"))), F.when(near & up, part("tail", -F.col("up")))]
     return own.select(*hashes(), *(c.alias(k) for k, c in zip(HALVES, halves, strict=True))).groupBy("h1", "h2").agg(F.count("*").alias("copies"), *(F.max(k).alias(k) for k in HALVES))
 
 
 def neighbours(slim: DataFrame, found: DataFrame) -> DataFrame:
-    """h1, h2 of the distinct lines that lie within one word of an earlier line."""
+    """h1, h2 of the distinct lines that lie within one unit of an earlier line."""
     sides = F.array(*(F.struct(F.col(k).alias("half"), F.lit(k.startswith("head")).alias("head")) for k in HALVES))
     halves = found.where("head is not null").select("h1", "h2", F.inline(sides)).where("half is not null")
     shared = materialise(halves.groupBy("half").count().where("count > 1").select("half"))
@@ -78,13 +98,13 @@ def neighbours(slim: DataFrame, found: DataFrame) -> DataFrame:
     texts = lines(slim).select(*PLACE, "line", *hashes()).join(sized(wanted), ["h1", "h2"])
     texts = texts.groupBy("h1", "h2", "by_head", "by_tail").agg(F.min(F.struct(*PLACE)).alias("place"), F.first("line").alias("line"))
     # r numbers the lines in their order; the checkpoint fixes it
-    ordered = texts.orderBy(F.col("place.doc_id").asc_nulls_first(), "place.t", "place.pos").select(F.monotonically_increasing_id().alias("r"), "h1", "h2", "by_head", "by_tail", F.split("line", " ").alias("words"))
+    ordered = texts.orderBy(F.col("place.doc_id").asc_nulls_first(), "place.t", "place.pos").select(F.monotonically_increasing_id().alias("r"), "h1", "h2", "by_head", "by_tail", "line", by_words(F.col("line")).alias("words"))
     numbered = materialise(ordered)
     # where the first halves are alike the edit lies behind them, where the last ones are it lies before
-    n = F.size("words")
+    n = size(F.col("line"))
     low, high = F.when(F.col("by_tail"), 0).otherwise(half(F.greatest(n - 1, F.lit(NEAR_WORDS)))), F.when(F.col("by_head"), n).otherwise(half(n + 1))
-    word = numbered.repartition("r").select("r", low.alias("low"), high.alias("high"), F.posexplode("words").alias("i", "w"))
-    word = word.select("r", "low", "high", "i", F.xxhash64("w", "i").alias("here"), F.xxhash64("w", F.col("i") - 1).alias("moved"))
+    unit = numbered.repartition("r").select("r", low.alias("low"), high.alias("high"), "words", F.posexplode(units(F.col("line"), F.col("words"))).alias("i", "w"))
+    word = unit.select("r", "low", "high", "i", F.xxhash64("w", "i", "words").alias("here"), F.xxhash64("w", F.col("i") - 1, "words").alias("moved"))
     upto = Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.expr("bit_xor(here)").over(upto).bitwiseXOR(F.col("here"))
@@ -103,13 +123,15 @@ def neighbours(slim: DataFrame, found: DataFrame) -> DataFrame:
     pairs = at.where("i < 0").select("r", F.col("least_variant").alias("e")).union(at.where("i >= 0").select("r", F.col("least_whole").alias("e")))
     pairs = pairs.union(at.where("i >= 0").select("r", "key", "i").join(sized(materialise(same)), ["key", "i"]).select("r", F.col("least").alias("e")))
     pairs = pairs.where("e < r").distinct()
-    mine = numbered.select("r", "h1", "h2", F.col("words").alias("a"))
-    theirs = numbered.select(F.col("r").alias("e"), F.col("words").alias("b"))
-    return pairs.join(mine, "r").join(theirs, "e").where(within_one(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
+    mine = numbered.select("r", "h1", "h2", F.col("line").alias("a"), "words")
+    theirs = numbered.select(F.col("r").alias("e"), F.col("line").alias("b"), F.col("words").alias("words_b"))
+    both = pairs.join(mine, "r").join(theirs, "e").where("words = words_b")
+    both = both.select("h1", "h2", units(F.col("a"), F.col("words")).alias("a"), units(F.col("b"), F.col("words")).alias("b"))
+    return both.where(within_one(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
 
 
 def within_one(a: Column, b: Column) -> Column:
-    """Whether two arrays of words differ by one word inserted, deleted or replaced at most."""
+    """Whether two arrays of units differ by one unit inserted, deleted or replaced at most."""
     m, n = F.size(a), F.size(b)
     short = F.least(m, n)
     same = F.zip_with(F.slice(a, F.lit(1), short), F.slice(b, F.lit(1), short), lambda x, y: x == y)
@@ -166,16 +188,19 @@ WITH raw AS (
   SELECT line, doc_id, pos, row_number() OVER (ORDER BY doc_id, pos) AS r
   FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS k FROM named) WHERE k = 1
 ), worded AS (
-  SELECT r, line, words FROM (SELECT r, line, string_split(line, ' ') AS words FROM firsts) WHERE len(words) >= {NEAR_WORDS}
+  SELECT r, line, string_split(line, ' ') AS words FROM firsts
+), united AS (
+  SELECT r, line, len(words) >= {NEAR_WORDS} AS kind, CASE WHEN len(words) >= {NEAR_WORDS} THEN words ELSE string_split(line, '') END AS units, CASE WHEN len(words) >= {NEAR_WORDS} THEN ' ' ELSE '' END AS mark
+  FROM worded WHERE len(words) >= {NEAR_WORDS} OR length(line) >= {NEAR_LETTERS}
 ), keys AS (
-  SELECT r, -1 AS i, line AS key FROM worded
+  SELECT r, kind, -1 AS i, line AS key FROM united
   UNION ALL
-  SELECT r, i, array_to_string(list_concat(words[1:i - 1], words[i + 1:len(words)]), ' ') AS key
-  FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM worded)
+  SELECT r, kind, i, array_to_string(list_concat(units[1:i - 1], units[i + 1:len(units)]), mark) AS key
+  FROM (SELECT r, kind, units, mark, unnest(range(1, len(units) + 1)) AS i FROM united)
 ), least AS (
-  SELECT r, i, min(r) OVER (PARTITION BY key, i) AS same,
-         min(CASE WHEN i < 0 THEN r END) OVER (PARTITION BY key) AS whole,
-         min(CASE WHEN i >= 0 THEN r END) OVER (PARTITION BY key) AS variant
+  SELECT r, i, min(r) OVER (PARTITION BY kind, key, i) AS same,
+         min(CASE WHEN i < 0 THEN r END) OVER (PARTITION BY kind, key) AS whole,
+         min(CASE WHEN i >= 0 THEN r END) OVER (PARTITION BY kind, key) AS variant
   FROM keys
 ), near AS (
   SELECT DISTINCT r FROM least WHERE (i < 0 AND variant < r) OR (i >= 0 AND (same < r OR whole < r))

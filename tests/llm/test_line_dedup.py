@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from palimpsest.llm import common
 from palimpsest.llm import line_dedup as d
 
 BLANK = " "
@@ -28,12 +29,15 @@ def brute(rows):
             if not line:
                 kept.append(raw)
                 continue
-            near = len(words) >= d.NEAR_WORDS and any(abs(len(w) - len(words)) < 2 and distance(w, words) < 2 for w in seen if len(w) >= d.NEAR_WORDS)
+            long = len(words) >= d.NEAR_WORDS
+            units = words if long else list(line)
+            near = (long or len(line) >= d.NEAR_LETTERS) and any(k == long and abs(len(w) - len(units)) < 2 and distance(w, units) < 2 for k, w in seen)
             if line not in earlier and not near:
                 kept.append(raw)
             if line not in earlier:
                 earlier.add(line)
-                seen.append(words)
+                if long or len(line) >= d.NEAR_LETTERS:
+                    seen.append((long, units))
         out[doc] = "\n".join(kept)
     return out
 
@@ -62,6 +66,41 @@ def rows():
     return out + [(None, "w1\nfirst of all\n" + " ".join(bases[8])), (500, None), (501, ""), (502, "\n\n"), (503, "x" * 40_000 + "\n" + " ".join(map(str, range(9000))))]
 
 
+def typo(rnd, line):
+    i = rnd.randrange(len(line))
+    return line[:i] + rnd.choice(["", line[i] + "é", "q"]) + line[i + 1 :]
+
+
+def test_letters_of_short_lines(spark):
+    rnd = random.Random(3)
+    base = [" ".join("".join(rnd.choice("abcé🙂") for _ in range(rnd.randint(1, 9))) for _ in range(n)) for n in [1, 2, 3, 3, 4, 5, 8, 10, 10, 11, 11, 12]] + ["x" * k for k in range(13, 44)]
+    rows = [(i, "\n".join(rnd.choice([x, x, typo(rnd, x), typo(rnd, typo(rnd, x))]) for x in rnd.sample(base, 9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in d.deduplicate(df).collect()} == brute(rows)
+
+
+@pytest.mark.parametrize(
+    "first, second, goes",
+    [
+        ("Anat with nteres", "Anat with ntares", True),
+        ("Anat with ntere", "Anat with ntare", False),  # 15 letters
+        ("one two three four five six seven eight nine ten", "one two three four five six seven eight nine tan", True),
+        ("one two three four five six seven eight nine ten", "one two three four five six seven eight nine else", False),
+        ("one two three four five six seven eight nine ten more", "one two three four five six seven eight nine else more", True),
+        ("one two three four five six seven eight nine ten more", "one twa three four five six seven eight nine tan more", False),
+    ],
+)
+def test_bounds(spark, first, second, goes):
+    got = d.deduplicate(spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {1: first, 2: "" if goes else second}
+
+
+def test_without_broadcasts(spark, rows, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    got = {r.doc_id: r.text for r in d.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) | {500: None}
+
+
 def test_against_brute_force(spark, rows):
     want = brute(rows)
     for n in (1, 6):
