@@ -190,13 +190,13 @@ WITH raw AS (
 ), worded AS (
   SELECT r, line, string_split(line, ' ') AS words FROM firsts
 ), united AS (
-  SELECT r, line, len(words) >= {NEAR_WORDS} AS kind, CASE WHEN len(words) >= {NEAR_WORDS} THEN words ELSE string_split(line, '') END AS units, CASE WHEN len(words) >= {NEAR_WORDS} THEN ' ' ELSE '' END AS mark
+  SELECT r, line, len(words) >= {NEAR_WORDS} AS kind, CASE WHEN len(words) >= {NEAR_WORDS} THEN words ELSE string_split(line, '') END AS units
   FROM worded WHERE len(words) >= {NEAR_WORDS} OR length(line) >= {NEAR_LETTERS}
 ), keys AS (
   SELECT r, kind, -1 AS i, line AS key FROM united
   UNION ALL
-  SELECT r, kind, i, array_to_string(list_concat(units[1:i - 1], units[i + 1:len(units)]), mark) AS key
-  FROM (SELECT r, kind, units, mark, unnest(range(1, len(units) + 1)) AS i FROM united)
+  SELECT r, kind, i, CASE WHEN kind THEN array_to_string(list_concat(units[1:i - 1], units[i + 1:len(units)]), ' ') ELSE array_to_string(list_concat(units[1:i - 1], units[i + 1:len(units)]), '') END AS key
+  FROM (SELECT r, kind, units, unnest(range(1, len(units) + 1)) AS i FROM united)
 ), least AS (
   SELECT r, i, min(r) OVER (PARTITION BY kind, key, i) AS same,
          min(CASE WHEN i < 0 THEN r END) OVER (PARTITION BY kind, key) AS whole,
