@@ -2,9 +2,9 @@ import hashlib
 import random
 import re
 from collections import defaultdict
-from math import log
+from math import log, log2
 
-from palimpsest.llm import pii
+from palimpsest.llm import common, pii
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
@@ -40,7 +40,7 @@ def test_base_spans_are_those_of_the_patterns():
 
 def test_very_long_texts_take_linear_time():
     for text in ["a" * 300_000, "1" * 300_000, "1." * 150_000, "a@" * 150_000, "+1 " * 100_000, "1 " * 150_000]:
-        pii.near_terms(text, pii.base_spans(text)[:50])
+        pii.terms_of(text, pii.private_spans(text)[:50])
 
 
 def corpus():
@@ -54,34 +54,57 @@ def corpus():
         elif i % 10 == 3:
             words[8:9] = ["common", f"u{i}@mail.org"]
         elif i % 10 == 5:
-            words.append("common")
+            words += ["common", "ward7"] if i < 40 else ["common"]
+        elif i % 10 == 7:
+            words[8:9] = ["nickname", '"24be64439e3e49cf46b2d7c90f3602a3d0b907ff"###'] if i < 100 else ["host", f"10.0.0.{i}"]
         rows.append((i, " ".join(words)))
     return rows + [(200, None), (None, ""), (0, rows[0][1])]
 
 
+TERM = r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
+
+
+def entities(text):
+    """(kind, value) of each span of a text, and the spans."""
+    spans = plain(text)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        v = m.group()
+        bits = -sum(v.count(c) / len(v) * log2(v.count(c) / len(v)) for c in set(v))
+        if not any(a < m.end() and m.start() < b for a, _, b in spans if _ != 6) and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and bits >= 3:
+            spans.append((m.start(), 6, m.end()))
+    spans.sort()
+    return {(k, text[a:b].lower() if k == 0 else text[a:b] if k in (1, 6) else re.sub("[^0-9]", "", text[a:b])) for a, k, b in spans} | {(k, None) for _, k, _ in spans}, spans
+
+
 def brute(rows):
     texts = [t or "" for _, t in rows]
-    near, with_entity, with_term = [], defaultdict(set), defaultdict(set)
-    for i, t in enumerate(texts):
-        for w in set(re.findall(r"\w+", t.lower())):
-            with_term[w].add(i)
-        near.append(pii.near_terms(t, plain(t)))
-        for a, k, b in plain(t):
-            with_entity[pii.entity(k, t[a:b])].add(i)
-    both = defaultdict(set)
-    for i, own in enumerate(near):
-        for e, term, _, _ in own:
-            both[e, term].add(i)
+    kinds = sorted(set(texts))
+    own, with_entity, with_term, both = {}, defaultdict(set), defaultdict(set), defaultdict(set)
+    for t in kinds:
+        found, spans = entities(t)
+        terms = defaultdict(list)
+        for m in re.finditer(TERM, t):
+            with_term[m.group().lower()].add(t)
+            if not any(a < m.end() and m.start() < b for a, _, b in spans) and len(m.group()) > 1 and not m.group().isdigit():
+                terms[m.group().lower()].append(m.span())
+        own[t] = found, spans, terms
+        for e in found:
+            with_entity[e].add(t)
+            for term in terms:
+                both[e, term].add(t)
     out = []
-    for i, t in enumerate(texts):
-        terms = {}
-        for e, term, a, b in near[i]:
-            n_te, n_e, n_t, n = len(both[e, term]), len(with_entity[e]), len(with_term[term]), len(texts)
-            told = log(n * n_te / (n_t * n_e)) / log(n / n_e)
-            if n_te >= pii.SUPPORT and told >= pii.GENERALISE:
-                terms[a, b] = max(terms.get((a, b), 4), 5 if told >= pii.REMOVE else 4)
-        spans = sorted(plain(t) + [(a, k, b) for (a, b), k in terms.items()])
-        out.append((rows[i][0], spans))
+    for doc, t in rows:
+        found, spans, terms = own[t or ""]
+        marks = {}
+        for e in found:
+            for term, places in terms.items():
+                n_te, n_e, n_t, n = len(both[e, term]), len(with_entity[e]), len(with_term[term]), len(kinds)
+                told = log(n * n_te / (n_t * n_e)) / log(n / n_e)
+                kind = e[1] is None
+                if n_te >= (pii.KIND_SUPPORT if kind else pii.SUPPORT) and told >= pii.GENERALISE and not (kind and 10 * n_e > n):
+                    for place in places:
+                        marks[place] = max(marks.get(place, 4), 5 if told >= pii.REMOVE else 4)
+        out.append((doc, sorted(spans + [(a, k, b) for (a, b), k in marks.items()])))
     return out
 
 
@@ -92,7 +115,25 @@ def test_against_brute_force(spark):
         df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key int").repartition(n)
         got = [(r.doc_id, [(s.start, s.kind, s.end) for s in r.all_spans]) for r in pii.find(df).collect()]
         assert sorted(got, key=str) == want
-    assert any(k == 5 for _, s in want for _, k, _ in s)
+    assert {4, 5, 6} <= {k for _, s in want for _, k, _ in s}
+
+
+def test_copies_bear_nothing_out(spark):
+    rows = [(i, "Zebulon writes from zeb@clinic.org today") for i in range(9)] + [(i, f"word{i} and others") for i in range(9, 40)]
+    got = pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sum(r.n_generalised + r.n_removed for r in got) == 0 and sum(r.n_email for r in got) == 9
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    rows = corpus()
+    got = [(r.doc_id, [(s.start, s.kind, s.end) for s in r.all_spans]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
+
+
+def test_spans_that_overlap(spark):
+    text = ".1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1.foo@x.com bar"
+    assert [t for t, _, _ in pii.terms_of(text, plain(text))] == ["bar"]
 
 
 def test_digest_and_texts(spark):
@@ -103,9 +144,10 @@ def test_digest_and_texts(spark):
         base = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in plain(text))
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
-        assert r.n_email == base.count("email") and r.n_ip == r.n_card == r.n_phone == 0
+        assert r.n_email == base.count("email") and r.n_ip == base.count("ip:") and r.n_card == r.n_phone == 0
         assert r.n_generalised + r.n_removed == r.spans.count("term:")
         assert r.spans or not r.n_email
+        assert r.n_private == r.n_email + r.n_ip + r.n_secret
     clean = pii.sanitise(df)
     assert clean.schema == df.schema
     texts = {r.doc_id: r.text for r in clean.collect()}
