@@ -103,7 +103,9 @@ def neighbours(slim: DataFrame, found: DataFrame) -> DataFrame:
     # where the first halves are alike the edit lies behind them, where the last ones are it lies before
     n = size(F.col("line"))
     low, high = F.when(F.col("by_tail"), 0).otherwise(half(F.greatest(n - 1, F.lit(NEAR_WORDS)))), F.when(F.col("by_head"), n).otherwise(half(n + 1))
-    unit = numbered.repartition("r").select("r", low.alias("low"), high.alias("high"), "words", F.posexplode(units(F.col("line"), F.col("words"))).alias("i", "w"))
+    # once a line: what stands beside a generator is computed for each of its rows
+    split = numbered.repartition("r").select("r", low.alias("low"), high.alias("high"), "words", units(F.col("line"), F.col("words")).alias("units"))
+    unit = split.select("r", "low", "high", "words", F.posexplode("units").alias("i", "w"))
     word = unit.select("r", "low", "high", "i", F.xxhash64("w", "i", "words").alias("here"), F.xxhash64("w", F.col("i") - 1, "words").alias("moved"))
     upto = Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
