@@ -45,14 +45,15 @@ def surplus(files: DataFrame) -> DataFrame:
 
 
 def global_digest(files: DataFrame, letters: tuple[int, ...] = (6, 3, 0)) -> DataFrame:
-    """One SHA-256 over the digests of all files in order, in levels.
+    """One SHA-256 over the digests of all files in order, with the number of files of each, in levels.
 
-    Digests that agree in their first six letters are hashed together, then those
-    results that agree in three, then all: no task gathers more than 4096 values
-    above the lowest level, where 16 million ranges share all files. The result does
-    not depend on partitions.
+    Equal digests are counted first, so copies are one row. Digests that agree in their
+    first six letters are hashed together, then those results that agree in three, then
+    all: no task gathers more than 4096 values above the lowest level, where 16 million
+    ranges share all digests. The result does not depend on partitions.
     """
-    rows = files.select(F.col("hash").alias("place"), F.col("hash").alias("digest"), F.lit(1).cast("long").alias("n"))
+    counted = files.groupBy("hash").agg(F.count("*").alias("n"))
+    rows = counted.select(F.col("hash").alias("place"), F.concat_ws(":", "hash", "n").alias("digest"), "n")
     for k in letters:
         ordered = F.array_sort(F.collect_list(F.struct("place", "digest")))
         joined = F.array_join(F.transform(ordered, lambda x: x["digest"]), "")

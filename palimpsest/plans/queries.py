@@ -126,7 +126,14 @@ def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fragments.reassembled(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", "\n")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {FILES}, o AS (SELECT source, size, row_number() OVER (PARTITION BY source ORDER BY path) AS r FROM files), "
+    "fold AS (SELECT source, r, 0 AS part, size, size AS filled FROM o WHERE r = 1 UNION ALL "
+    "SELECT o.source, o.r, CASE WHEN f.filled + o.size > 65536 AND f.filled > 0 THEN f.part + 1 ELSE f.part END, o.size, "
+    "CASE WHEN f.filled + o.size > 65536 AND f.filled > 0 THEN o.size ELSE f.filled + o.size END "
+    "FROM fold f JOIN o ON o.source = f.source AND o.r = f.r + 1) "
+    "SELECT source, part::INT AS part, count(*)::BIGINT AS files, sum(size)::BIGINT AS bytes FROM fold GROUP BY 1, 2"
+)
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir).select("source", "path", "size")
     return fragments.packed(f, ["source"], [F.col("path")], "size", 65_536).groupBy("source", "part").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
@@ -318,17 +325,16 @@ def merge_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count("*").alias("files"), F.count_distinct("path").alias("paths"))
 
 
-TOKENS = "SELECT conv_id * 1000 + turn AS line_id, lower(regexp_extract(text, 'token = \"([0-9A-Fa-f]{16})', 1)) AS token FROM conversations"
-
-
 @query(
-    "WITH a AS (SELECT doc_id AS a_id, lower(regexp_extract(text, 'token = \"([0-9A-Fa-f]{16})', 1)) AS token FROM documents), b AS (SELECT line_id AS b_id, token FROM (" + TOKENS + ")) "
+    "WITH a AS (SELECT doc_id AS a_id, lower(regexp_extract(text, 'token = \"([0-9A-Fa-f]{16})', 1)) AS token FROM documents), "
+    "b AS (SELECT -1 - doc_id AS b_id, lower(regexp_extract(upper(text), 'TOKEN = \"([0-9A-Fa-f]{16})', 1)) AS token FROM documents WHERE doc_id % 2 = 0) "
     "SELECT token, a_id, b_id FROM a JOIN b USING (token) WHERE token <> ''"
 )
 def compare_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.col("text").alias("line"))
-    b = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_id"), F.col("text").alias("line"))
-    return diff.equal_tokens(a, b, 'token = "', 16)
+    d = table(spark, sf_dir, "documents")
+    a = d.select(F.col("doc_id").alias("line_id"), F.col("text").alias("line"))
+    b = d.where("doc_id % 2 = 0").select((-1 - F.col("doc_id")).alias("line_id"), F.upper("text").alias("line"))
+    return diff.equal_tokens(a, b, '(?i)token = "', 16)
 
 
 @query(
@@ -374,7 +380,7 @@ def dup_keep_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {FILES}, a AS (SELECT substr(hash, 1, 6) AS p, count(*) AS n, sha256(string_agg(hash, '' ORDER BY hash)) AS d FROM files GROUP BY 1), "
+    f"WITH {FILES}, h AS (SELECT hash, count(*) AS n FROM files GROUP BY 1), a AS (SELECT substr(hash, 1, 6) AS p, sum(n) AS n, sha256(string_agg(hash || ':' || n, '' ORDER BY hash)) AS d FROM h GROUP BY 1), "
     "b AS (SELECT substr(p, 1, 3) AS p, sum(n) AS n, sha256(string_agg(d, '' ORDER BY p)) AS d FROM a GROUP BY 1) "
     "SELECT sum(n)::BIGINT AS files, sha256(string_agg(d, '' ORDER BY p)) AS digest FROM b"
 )
@@ -523,9 +529,15 @@ def coded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("path", filters.coded(F.col("path")).alias("coded"))
 
 
-@query(f"WITH {FILES} SELECT path FROM files WHERE NOT regexp_matches('/' || path, '^.*/Thumbs\\.db$')")
+LITTER = "CASE WHEN doc_id % 5 = 0 THEN lang || '/Thumbs.db' WHEN doc_id % 7 = 0 THEN lang || '/@eaDir/' || doc_id WHEN doc_id % 11 = 0 THEN lang || '/._' || doc_id WHEN doc_id % 13 = 0 THEN lang || '/Thumbs.db.' || doc_id ELSE path END"
+
+
+@query(
+    f"WITH {FILES}, named AS (SELECT {LITTER} AS path FROM files) SELECT path FROM named "
+    "WHERE NOT (path LIKE '%/Thumbs.db' OR path LIKE '%/@eaDir/%' OR path LIKE '%/.\\_%' ESCAPE '\\')"
+)
 def canned_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.excluding(files(spark, sf_dir), ["mac", "nas", "windows"]).select("path")
+    return filters.excluding(files(spark, sf_dir).select(F.expr(LITTER).alias("path")), ["mac", "nas", "windows"]).select("path")
 
 
 @query(
@@ -613,7 +625,13 @@ def type_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select("value", scalars.data_type(F.col("value")).alias("type"))
 
 
-@query()
+@query(
+    "WITH letters AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(len(string_split(text, '')))) AS i FROM documents WHERE length(text) > 0), "
+    "runs AS (SELECT doc_id, c, i - row_number() OVER (PARTITION BY doc_id, c ORDER BY i) AS run FROM letters), "
+    "lengths AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id, c, run), "
+    "shares AS (SELECT doc_id, round(sum(CASE WHEN n >= 3 THEN n ELSE 0 END)::DOUBLE / sum(n), 6) AS share FROM lengths GROUP BY doc_id) "
+    "SELECT doc_id, coalesce(share, 0.0) AS share FROM documents LEFT JOIN shares USING (doc_id)"
+)
 def run_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", scalars.run_share(F.col("text")).alias("share"))
 

@@ -29,8 +29,11 @@ TABLES = {"journal": JOURNAL, "fragments": FRAGMENTS, "blocks": BLOCKS, "version
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder, or below a temporary one where there is none."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="repository-")
+    """A new folder below the session's shared checkpoint folder; only a session without executors on other hosts may go without one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
+    shared = shared or tempfile.mkdtemp(prefix="repository-")
     return f"{shared}/repository-{uuid.uuid4().hex}"
 
 
