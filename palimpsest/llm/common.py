@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -56,6 +57,12 @@ def compact(df: DataFrame, rows: int = 250_000) -> DataFrame:
     return done.coalesce(max(1, -(-done.count() // rows)))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark's cleaner drop the shuffle files and checkpoints of finished steps, which it does when the driver's heap is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def reread(df: DataFrame) -> DataFrame:
     """df from a Parquet table in the shared folder, for wide rows that are read more than once."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import chunks
-from palimpsest.llm.common import compact, map_batches, materialise, sized
+from palimpsest.llm.common import compact, let_go, map_batches, materialise, sized
 from palimpsest.llm.components import components
 
 BANDS, ROWS = 48, 6
@@ -309,6 +309,7 @@ def grouped(texts: DataFrame, signed: DataFrame, width: int, percent: int) -> Da
     sets = full_sets(named, width).join(sized(wanted.select("c", "d1", "d2")), ["d1", "d2"])
     sets = materialise(sets.groupBy("c").agg(F.min("s").alias("s")))
     links = compact(confirm(pairs, sets, percent))
+    let_go(signed.sparkSession)
     found = compact(components(links))
     bands_of = classes.select("c", "bands")
     for turn in range(TURNS):
@@ -325,6 +326,7 @@ def grouped(texts: DataFrame, signed: DataFrame, width: int, percent: int) -> Da
         links = links.union(fresh)
         found = compact(components(links))
     open_ = compact(unsettled(member, found))
+    let_go(signed.sparkSession)
     # small buckets: at most PAIRED partners for a class
     small = F.col("k") <= PAIRED
     left = open_.where(small & F.expr("parts = 1 and g <> main")).select(*(F.col(x).alias(f"{x}_a") for x in ("key", "c", "g", "n", "main")))
@@ -332,13 +334,15 @@ def grouped(texts: DataFrame, signed: DataFrame, width: int, percent: int) -> Da
     different = (F.col("g_a") != F.col("g_b")) & ((F.col("c_a") < F.col("c_b")) | (F.col("g_b") == F.col("main_a")))
     few = left.join(right, (F.col("key_a") == F.col("key")) & different & near(F.col("n_a"), F.col("n_b")))
     few = compact(few.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct())
+    links = links.union(compact(confirm(few, sets, percent)))
+    let_go(signed.sparkSession)
     # large ones: block by block
     large = open_.where(~small | F.expr("parts > 1")).withColumn("w", part(F.col("parts"))).withColumn("v", part(F.col("parts_out"))).join(bands_of, "c")
     left = large.where("g <> main").select("key", F.col("v").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("y"), "c", "g", "bands")
     right = large.select("key", F.explode(F.sequence(F.lit(0), F.col("parts_out") - 1)).alias("x"), F.col("w").alias("y"), "c", "g", "bands")
-    fresh = compact(confirm(few, sets, percent).union(blockwise(left, right, sets, percent, first=True)))
-    if not fresh.isEmpty():
-        found = compact(components(links.union(fresh)))
+    links = links.union(compact(blockwise(left, right, sets, percent, first=True)))
+    let_go(signed.sparkSession)
+    found = compact(components(links))
     return named_rows(signed, classes, found)
 
 
