@@ -103,8 +103,9 @@ def new_and_gone(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.exceptAll(before).withColumn("mark", F.lit("+")).unionByName(before.exceptAll(after).withColumn("mark", F.lit("-")))
 
 
-def equal_tokens(a: DataFrame, b: DataFrame, label: str, length: int) -> DataFrame:
-    """Lines of a and b that carry the same hexadecimal token behind a label; both have line_id and line."""
-    token = lambda: F.lower(F.regexp_extract("line", f"{label}([0-9A-Fa-f]{{{length}}})", 1)).alias("token")
-    x, y = a.select(F.col("line_id").alias("a_id"), token()).where("token <> ''"), b.select(F.col("line_id").alias("b_id"), token()).where("token <> ''")
+def equal_tokens(a: DataFrame, b: DataFrame, label: str, length: int, b_label: str | None = None) -> DataFrame:
+    """Lines of a and b that carry the same hexadecimal token, in letters of either case, behind a label (b_label in b, if given); both have line_id and line."""
+    token = lambda own: F.lower(F.regexp_extract("line", f"{own}([0-9A-Fa-f]{{{length}}})", 1)).alias("token")
+    x = a.select(F.col("line_id").alias("a_id"), token(label)).where("token <> ''")
+    y = b.select(F.col("line_id").alias("b_id"), token(b_label or label)).where("token <> ''")
     return x.join(y, "token")
