@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
@@ -21,6 +22,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAVING = 16
+#: Bytes of the dictionary of each level of lzma.
+DICTIONARIES = [1 << n for n in (18, 20, 21, 22, 22, 23, 23, 24, 25, 26)]
+#: Rows and bytes of contents that go to a worker at a time. Contents may be long.
+BATCH_ROWS, BATCH_BYTES = 400, 4_000_000
 
 
 @dataclass(frozen=True)
@@ -49,21 +54,29 @@ def _arrow(name: str) -> tuple[Callable[[bytes, int], bytes], Callable[[bytes, i
 
 
 def runs_encode(data: bytes, level: int) -> bytes:
-    """Pairs of a count (1 to 255) and a byte."""
-    out, i = bytearray(), 0
-    while i < len(data):
-        j = i + 1
-        while j < len(data) and j - i < 255 and data[j] == data[i]:
-            j += 1
-        out += bytes((j - i, data[i]))
-        i = j
-    return bytes(out)
+    """Pairs of a count (1 to 255) and a byte; the data itself, which a block stores, if they are no shorter."""
+    values = np.frombuffer(data, np.uint8)
+    if 2 * np.count_nonzero(values[1:] != values[:-1]) >= len(data) - 2:
+        return data
+    starts = np.flatnonzero(np.diff(values, prepend=~values[:1]))
+    more, rest = np.divmod(np.diff(starts, append=len(values)) - 1, 255)
+    ends = np.cumsum(more + 1)
+    out = np.full((ends[-1] if len(ends) else 0, 2), 255, np.uint8)
+    out[ends - 1, 0] = rest + 1
+    out[:, 1] = np.repeat(values[starts], more + 1)
+    return out.tobytes()
 
 
 def runs_decode(data: bytes, size: int) -> bytes:
     return b"".join(data[i + 1 : i + 2] * data[i] for i in range(0, len(data), 2))
 
 
+def lzma_encode(data: bytes, level: int) -> bytes:
+    """What the level gives, with a dictionary no larger than the data needs: the encoder's tables are as large as that."""
+    size = min(DICTIONARIES[level], max(4096, 1 << (len(data) - 1).bit_length()))
+    return lzma.compress(data, filters=[{"id": lzma.FILTER_LZMA2, "preset": level, "dict_size": size}])
+
+
 CODECS = {
     c.name: c
     for c in [
@@ -71,7 +84,7 @@ CODECS = {
         Codec("rle", "run length", 0, 0, 0, runs_encode, runs_decode),
         Codec("deflate", "LZ+Huffman", 0, 9, 6, lambda b, n: zlib.compress(b, n), lambda b, n: zlib.decompress(b)),
         Codec("bzip2", "BWT", 1, 9, 9, lambda b, n: bz2.compress(b, n), lambda b, n: bz2.decompress(b)),
-        Codec("lzma", "LZ+range coder", 0, 9, 6, lambda b, n: lzma.compress(b, preset=n), lambda b, n: lzma.decompress(b)),
+        Codec("lzma", "LZ+range coder", 0, 9, 6, lzma_encode, lambda b, n: lzma.decompress(b)),
         Codec("zstd", "LZ+FSE", 1, 22, 3, lambda b, n: zstandard.ZstdCompressor(level=n).compress(b), lambda b, n: zstandard.ZstdDecompressor().decompress(b, max_output_size=n)),
         Codec("brotli", "LZ+dictionary", 0, 11, 6, *_arrow("brotli")),
         Codec("snappy", "LZ", 1, 1, 1, *_arrow("snappy")),
@@ -110,7 +123,15 @@ def decode_block(block: bytes) -> bytes:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand contents to workers in batches of bounded size, so that what a worker holds does not grow with the input."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def encoded(content: Column, codec: str, level: int | None = None) -> Column:
+    small_batches(SparkSession.active())
+
     @F.pandas_udf("binary")
     def of(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None else encode_block(bytes(b), codec, level))
@@ -120,6 +141,7 @@ def encoded(content: Column, codec: str, level: int | None = None) -> Column:
 
 def decoded(block: Column) -> Column:
     """The content of a block; null if the block is damaged."""
+    small_batches(SparkSession.active())
 
     def one(b: object) -> bytes | None:
         try:
@@ -148,6 +170,20 @@ def recoded(blocks: DataFrame, codec: str, level: int | None = None, column: str
     return blocks.mapInArrow(run, blocks.schema)
 
 
+def block_sizes(contents: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """size and, for each codec, the bytes of its block, of every row of contents (content); blocks do not leave the worker. Null for null."""
+    names = names or list(CODECS)
+    small_batches(contents.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            of = [[None if b is None else len(b) for b in values], *([None if b is None else len(encode_block(b, name)) for b in values] for name in names)]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()) for n in of], ["size", *names])
+
+    return contents.select(F.col("content").cast("binary")).mapInArrow(run, ", ".join(f"`{c}` long" for c in ("size", *names)))
+
+
 def registry(spark: SparkSession) -> DataFrame:
     """name, family, min_level, max_level, card of every codec."""
     rows = [(c.name, c.family, c.least, c.most, c.card) for c in CODECS.values()]

@@ -1,7 +1,9 @@
 import hashlib
+import lzma
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -34,6 +36,44 @@ def test_round_trip(name):
     assert codecs.encode_block(b"a" * 1000, "rle")[0] == codecs.ORDER.index("rle")
 
 
+def test_runs():
+    rnd = random.Random(7)
+    for lengths in ([1], [255], [256], [510, 1], [511], [1000, 2, 300, 1], [rnd.choice([20, 254, 255, 256, 600]) for _ in range(30)]):
+        data = b"".join(bytes([i % 7]) * n for i, n in enumerate(lengths))
+        out = codecs.runs_encode(data, 0)
+        if len(data) > 2 * len(lengths):
+            assert codecs.runs_decode(out, len(data)) == data and len(out) == 2 * sum(-(-n // 255) for n in lengths)
+    assert codecs.runs_encode(b"no runs here", 0) == b"no runs here" and codecs.runs_encode(b"", 0) == b""
+
+
+def test_lzma_takes_no_more_than_the_data_needs():
+    for data in samples():
+        for level in (0, 6, 9):
+            ours, theirs = codecs.CODECS["lzma"].encode(data, level), lzma.compress(data, preset=level)
+            assert lzma.decompress(ours) == data and len(ours) == len(theirs) and ours[24:] == theirs[24:]
+    tracked = codecs.CODECS["lzma"].encode(b"a short text", 9)
+    assert tracked[16] == 0  # a dictionary of 4,096 bytes, by the stream's header
+
+
+def test_workers_get_small_batches(spark):
+    rows = spark.range(3000, numPartitions=1).select("id", F.repeat(F.lit("0123456789"), 1000).cast("binary").alias("content"))
+    most = (max(2, codecs.BATCH_BYTES // 5000), codecs.BATCH_ROWS)
+    codecs.small_batches(spark)
+    seen = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r.n for r in seen) == 3000 and max(r.n for r in seen) <= min(most)
+
+
+ODD = [(1, b"some words, some words, some words, some words"), (2, b""), (3, None), (4, bytes(1000))]
+
+
+def test_block_sizes(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    got = codecs.block_sizes(spark.createDataFrame(ODD, "id long, content binary").coalesce(1).select("content")).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(codecs.BATCH_ROWS)
+    want = [(None,) * 10 if b is None else (len(b), *(len(codecs.encode_block(b, name)) for name in codecs.CODECS)) for _, b in ODD]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_damaged_blocks():
     rnd = random.Random(6)
     data = b"some text that repeats, some text that repeats " * 40
