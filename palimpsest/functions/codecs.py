@@ -184,6 +184,28 @@ def block_sizes(contents: DataFrame, names: list[str] | None = None) -> DataFram
     return contents.select(F.col("content").cast("binary")).mapInArrow(run, ", ".join(f"`{c}` long" for c in ("size", *names)))
 
 
+def round_trips(contents: DataFrame, key: str, names: list[str] | None = None) -> DataFrame:
+    """key, codec, ok for every row of contents (key, content) and every codec: whether the content comes back from its block. Null comes back as null."""
+    names = names or list(CODECS)
+    small_batches(contents.sparkSession)
+
+    def back(data: bytes | None, name: str) -> bool:
+        try:
+            return data is None or decode_block(encode_block(data, name)) == data
+        except DamagedBlock:
+            return False
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(1).to_pylist()
+            for name in names:
+                ok = [back(b, name) for b in values]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(ok), pa.string()), pa.array(ok, pa.bool_())], [key, "codec", "ok"])
+
+    kind = dict(contents.dtypes)[key]
+    return contents.select(key, F.col("content").cast("binary")).mapInArrow(run, f"`{key}` {kind}, codec string, ok boolean")
+
+
 def registry(spark: SparkSession) -> DataFrame:
     """name, family, min_level, max_level, card of every codec."""
     rows = [(c.name, c.family, c.least, c.most, c.card) for c in CODECS.values()]

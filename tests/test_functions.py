@@ -74,6 +74,11 @@ def test_block_sizes(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_round_trips(spark):
+    got = codecs.round_trips(spark.createDataFrame(ODD, "id long, content binary"), "id").collect()
+    assert sorted(map(tuple, got)) == sorted((i, name, True) for i, _ in ODD for name in codecs.CODECS)
+
+
 def test_damaged_blocks():
     rnd = random.Random(6)
     data = b"some text that repeats, some text that repeats " * 40
