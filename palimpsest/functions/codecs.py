@@ -157,12 +157,13 @@ def decoded(block: Column) -> Column:
 
 
 def recoded(blocks: DataFrame, codec: str, level: int | None = None, column: str = "payload") -> DataFrame:
-    """blocks with their payload decoded and encoded anew, batch by batch."""
+    """blocks with their payload decoded and encoded anew, batch by batch; null stays null."""
     at = blocks.columns.index(column)
+    small_batches(blocks.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [encode_block(decode_block(b), codec, level) for b in batch.column(at).to_pylist()]
+            new = [None if b is None else encode_block(decode_block(b), codec, level) for b in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(new, pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)

@@ -79,6 +79,12 @@ def test_round_trips(spark):
     assert sorted(map(tuple, got)) == sorted((i, name, True) for i, _ in ODD for name in codecs.CODECS)
 
 
+def test_recoded_keeps_nulls(spark):
+    blocks = spark.createDataFrame([(i, None if b is None else codecs.encode_block(b, "deflate")) for i, b in ODD], "id long, payload binary")
+    again = codecs.recoded(blocks, "zstd", 9)
+    assert {i: None if b is None else codecs.decode_block(bytes(b)) for i, b in again.collect()} == dict(ODD)
+
+
 def test_damaged_blocks():
     rnd = random.Random(6)
     data = b"some text that repeats, some text that repeats " * 40
