@@ -188,11 +188,15 @@ class WordBpe:
             out += [x for x in SPACES.split(part) if x] if SEPARATORS.search(part) else part.split()
         return out
 
+    def forget(self) -> None:
+        """Drop the words: a worker lives on after its task, and other stages need the memory."""
+        self.words, self.letters = {}, 0
+
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: tokens, decimal ids joined by a space, decoded text."""
         split = [self.split(t) for t in texts]
         if len(self.words) > CACHE_WORDS or self.letters > CACHE_LETTERS:
-            self.words, self.letters = {}, 0
+            self.forget()
         for content, i in self.special.items():
             self.words[f" {content}"] = str(i), 1, content
         self.learn({w for words in split for w in words}.difference(self.words))
@@ -248,6 +252,7 @@ def encode(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True) -
                 if decoded:
                     columns["decoded"] = pa.array([t for _, _, t in rows], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
+        bpe.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * decoded
     return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")), run, schema)

@@ -92,9 +92,13 @@ class Pieces:
         ids = [i for k, p in enumerate(parts) for i in self.encoding.encode_ordinary(p if k else f" {p}")]
         return np.array(ids, np.uint16).tobytes()
 
+    def forget(self) -> None:
+        """Drop the words: a worker lives on after its task, and other stages need the memory."""
+        self.words, self.letters = {}, 0
+
     def of(self, text: str) -> np.ndarray:
         if len(self.words) > CACHE_WORDS or self.letters > CACHE_LETTERS:
-            self.words, self.letters = {}, 0
+            self.forget()
         words = text.split()
         known = self.words
         for w in set(words).difference(known):
@@ -122,13 +126,20 @@ def pieces(path: str) -> Pieces:
 
 
 def bigrams(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context, piece and number of the text of every place of texts."""
-    flat = np.concatenate([*texts, np.empty(0, np.uint16)]).astype(np.int64)
+    """Context, piece and number of the text of every place of texts, in as few bytes as hold them."""
+    flat = np.concatenate([*texts, np.empty(0, np.uint16)])
     lengths = np.array([len(t) for t in texts], np.int64)
-    before = np.r_[start, flat[:-1]][: len(flat)]
-    first = np.cumsum(np.r_[0, lengths])[:-1][lengths > 0]
-    before[first] = start
-    return before, flat, np.repeat(np.arange(len(texts)), lengths)
+    before = np.empty_like(flat)
+    before[1:] = flat[:-1]
+    before[np.cumsum(np.r_[0, lengths])[:-1][lengths > 0]] = start
+    return before, flat, np.repeat(np.arange(len(texts), dtype=np.uint32), lengths)
+
+
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each stands there; sorts values in place, as copies of a block add up."""
+    values.sort()
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(values)), bool), values[1:] != values[:-1]])
+    return values[first], np.diff(first, append=len(values))
 
 
 def counts_of(trusted: DataFrame, path: str) -> DataFrame:
@@ -139,8 +150,11 @@ def counts_of(trusted: DataFrame, path: str) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             before, flat, _ = bigrams(seen, own.start)
-            keys, n = np.unique(before << 16 | flat, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
+            keys = before.astype(np.uint32)
+            keys <<= 16
+            keys |= flat
+            keys, n = counted(keys)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -149,6 +163,7 @@ def counts_of(trusted: DataFrame, path: str) -> DataFrame:
                 if size >= BLOCK_PIECES:
                     yield flush()
                     size, seen = 0, []
+        own.forget()
         yield flush()
 
     return map_batches(trusted.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -211,14 +226,25 @@ def unpacked(blob: bytes) -> np.ndarray:
 def block_of(texts: list[np.ndarray], model: dict, shards: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
     """The part of each text's score that the workers know, and for each shard the other n-grams of the texts."""
     before, flat, of = bigrams(texts, model["start"])
-    local = np.bincount(of, weights=model["log_piece"][flat] + model["log_back"][before], minlength=len(texts))
-    entries, times = np.unique((before << 16 | flat) << 24 | of, return_counts=True)
-    key, of = entries >> 24, entries & 0xFFFFFF
-    heads = model["heads"]
+    weights = model["log_piece"][flat]
+    weights += model["log_back"][before]
+    local = np.bincount(of, weights=weights, minlength=len(texts))
+    del weights
+    entries = before.astype(np.int64)
+    for array, bits in ((flat, 16), (of, 24)):
+        entries <<= bits
+        entries |= array
+    del before, flat, of, array
+    entries, times = counted(entries)
+    of = (entries & 0xFFFFFF).astype(np.uint32)
+    entries >>= 24
+    key, heads = entries, model["heads"]
     at = np.minimum(np.searchsorted(heads, key), max(0, len(heads) - 1))
     head = heads[at] == key if len(heads) else np.zeros(len(key), bool)
     local += np.bincount(of[head], weights=model["head_weights"][at[head]] * times[head], minlength=len(texts))
+    del at
     key, of, times = key[~head], of[~head], times[~head]
+    del entries, head
     shard = shard_of(key, shards)
     order = np.argsort(shard, kind="stable")
     key, of, times, shard = key[order], of[order], times[order], shard[order]
@@ -272,6 +298,7 @@ def blocks(docs: DataFrame, model: dict, path: str, shards: int) -> DataFrame:
                 if size >= BLOCK_PIECES or len(texts) >= BLOCK_TEXTS:
                     yield flush()
                     rows, texts, size = [], [], 0
+        own.forget()
         if rows:
             yield flush()
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -144,3 +145,30 @@ def test_nothing_trusted(spark, case):
     assert q.accepted(docs.limit(0), labels).count() == 0
 
 
+def test_blocks_are_lean_and_whole():
+    rnd = np.random.default_rng(4)
+    texts = [rnd.integers(0, 30, n).astype(np.uint16) for n in (0, 5, 1, 400, 0, 900)]
+    before, flat, of = q.bigrams(texts, 65_535)
+    assert [x.itemsize for x in (before, flat, of)] == [2, 2, 4]  # 8 bytes a place, not 24
+    want = [(65_535 if i == 0 else int(t[i - 1]), int(x), k) for k, t in enumerate(texts) for i, x in enumerate(t)]
+    assert list(zip(before.tolist(), flat.tolist(), of.tolist(), strict=True)) == want
+    values = rnd.integers(0, 50, 1000)
+    distinct, n = np.unique(values, return_counts=True)
+    got = q.counted(values.copy())
+    assert (got[0] == distinct).all() and (got[1] == n).all() and [len(x) for x in q.counted(values[:0])] == [0, 0]
+
+
+def test_workers_forget_words(spark):
+    docs = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string").coalesce(1)
+
+    def held(batches):
+        yield from ()
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(p.words) for p in q._PIECES.values())])], ["n"])
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert q.counts_of(docs, q.vocabulary()).count() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(r.n for r in spark.range(64, numPartitions=64).mapInArrow(held, "n long").collect()) == 0
