@@ -8,6 +8,7 @@ otherwise the block is stored as it is.
 from __future__ import annotations
 
 import bz2
+import hashlib
 import lzma
 import struct
 import zlib
@@ -171,6 +172,49 @@ def recoded(blocks: DataFrame, codec: str, level: int | None = None, column: str
     return blocks.mapInArrow(run, blocks.schema)
 
 
+def assembled(blocks: DataFrame, digest: bool = False) -> DataFrame:
+    """key and content of every key of blocks (key, ord, payload): its blocks decoded, in order; with digest, key and hash, the content's SHA-256. Null if a block is damaged.
+
+    Blocks stream over sorted partitions, so a worker holds a content at a time, and with digest only a block.
+    """
+    small_batches(blocks.sparkSession)
+    name, kind = ("hash", pa.string()) if digest else ("content", pa.binary())
+
+    def contents(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, str | bytes | None]]:
+        last, whole, sound = None, None, True
+        value = lambda: None if not sound else whole.hexdigest() if digest else bytes(whole)
+        for batch in batches:
+            for key, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != last:
+                    if last is not None:
+                        yield last, value()
+                    last, whole, sound = key, hashlib.sha256() if digest else bytearray(), True
+                try:
+                    piece = decode_block(block)
+                except DamagedBlock:
+                    sound = False
+                else:
+                    whole.update(piece) if digest else whole.extend(piece)
+        if last is not None:
+            yield last, value()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str | bytes | None]] = []
+        size = 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v for _, v in rows], kind)], ["key", name])
+        for row in contents(batches):
+            rows.append(row)
+            size += len(row[1] or b"")
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield pack()
+                rows, size = [], 0
+        if rows:
+            yield pack()
+
+    dealt = blocks.select("key", "ord", "payload").repartition("key").sortWithinPartitions("key", "ord")
+    return dealt.select("key", "payload").mapInArrow(run, f"key string, {name} {'string' if digest else 'binary'}")
+
+
 def block_sizes(contents: DataFrame, names: list[str] | None = None) -> DataFrame:
     """size and, for each codec, the bytes of its block, of every row of contents (content); blocks do not leave the worker. Null for null."""
     names = names or list(CODECS)

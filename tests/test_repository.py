@@ -1,11 +1,13 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import codecs
 from palimpsest.operators import diff
 from palimpsest.sources import files as sources
+from palimpsest.sources import repository
 from palimpsest.sources.repository import Repository
 from palimpsest.streaming import ingest
 
@@ -59,6 +61,61 @@ def test_damage_is_found(spark, repo):
     assert verdicts == {"a.txt": "ok", "b/c.txt": "bad", "b/empty": "ok", "same": "ok"}
 
 
+def test_contents_are_not_held(spark, repo, monkeypatch):
+    """What an add keeps in memory or on disk are digests; after it, nothing. (Contents were cached, and the plan stayed so.)"""
+    context, append, held = spark.sparkContext._jsc, Repository._append, []
+
+    def watched(self, name, *rest):
+        held.append(sum(r.memSize() + r.diskSize() for r in context.sc().getRDDStorageInfo()))
+        append(self, name, *rest)
+
+    monkeypatch.setattr(Repository, "_append", watched)
+    before = context.getPersistentRDDs().size()
+    files = {f"f{n}": np.random.default_rng(n).bytes(200_000) for n in range(20)}
+    repo.fragment = 10_000
+    assert repo.add(tree(spark, files)) == 1 and repo.add(tree(spark, files | {"f0": b"x"})) == 2
+    assert 0 < max(held) < 400_000 and context.getPersistentRDDs().size() == before
+    assert contents(repo.extract(1)) == files and contents(repo.extract())["f0"] == b"x"
+
+
+def test_equal_contents_are_put_together_once(spark, repo):
+    repo.add(tree(spark, {f"copy{n}": b"one" * 3000 for n in range(50)} | BASE))
+    assert repo._wholes(repo._keyed(None)).count() == 3
+    assert repo._wholes(repo._keyed(None), digest=True).where("hash is null").count() == 0
+    assert diff.tally(repo.test()).first().good == 54 and len(contents(repo.extract())) == 54
+
+
+def test_places_beyond_the_broadcast(spark, repo, monkeypatch):
+    monkeypatch.setattr(repository, "BROADCAST_BYTES", 0)
+    changed = BASE | {"b/c.txt": b"one" * 2000 + b"new" * 1000}
+    assert repo.add(tree(spark, BASE)) == 1 and repo.add(tree(spark, changed)) == 2
+    assert contents(repo.extract(1)) == BASE and contents(repo.extract()) == changed
+    assert repo._read("blocks").count() == repo._read("blocks").select("block_id").distinct().count()
+
+
+def test_fragments_of_a_path_given_twice_are_stored_once(spark, repo):
+    twice = tree(spark, BASE).union(tree(spark, {"same": b"one" * 3000, "b/c.txt": b"other"}))
+    assert repo.add(twice) == 1 and repo.info().first().added == 6
+    blocks = repo._read("blocks").select("block_id").collect()
+    assert len(blocks) == len(set(blocks)) == repo._read("fragments").count() and contents(repo.extract())["a.txt"] == BASE["a.txt"]
+
+
+def test_null_content_is_missing(spark, repo):
+    row = spark.createDataFrame([("none", None, T, "a", None)], SCHEMA)
+    assert repo.add(tree(spark, BASE).union(row)) == 1 and repo.add(tree(spark, BASE).union(row)) is None
+    assert {r.path: r.verdict for r in repo.test().collect()} == {p: "ok" for p in BASE} | {"none": "missing"}
+
+
+def test_contents_that_change_during_an_add_are_not_committed(spark, repo, monkeypatch):
+    write = Repository._write_blocks
+    other = lambda self, version, files, *rest: write(self, version, files.withColumn("content", F.lit(b"other")), *rest)
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="changed while"):
+        patch.setattr(Repository, "_write_blocks", other)
+        repo.add(tree(spark, BASE))
+    assert repo.last_version() == 0 and repo.state().count() == 0
+    assert repo.add(tree(spark, BASE)) == 1 and contents(repo.extract()) == BASE
+
+
 def test_trim_crop_merge_repack(spark, repo, tmp_path):
     repo.add(tree(spark, BASE))
     repo.add(tree(spark, BASE | {"new": b"x"}))
