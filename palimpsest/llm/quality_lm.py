@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_batches, materialise, reread, sized
+from palimpsest.llm.common import local_table, map_batches, materialise, reread, sized
 
 #: Splits a word into runs of letters, digits and marks, before the merges; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,6 +55,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 HEAD = 2.0**-18
 #: Pieces and texts of a block; pieces and texts for which there is a shard, and a copy of the shards.
 BLOCK_PIECES, BLOCK_TEXTS, SHARD_PIECES, COPY_TEXTS = 3_000_000, 50_000, 8_000_000, 20_000_000
+#: Pieces of a block that are worked at once.
+RUN_PIECES = 250_000
 #: Letters of a word that are merged together; words, and letters in them, that a worker remembers.
 WORD_LETTERS, CACHE_WORDS, CACHE_LETTERS = 1000, 200_000, 4_000_000
 #: Repetitions of a word that have pieces of their own; later ones share the last.
@@ -149,7 +151,7 @@ def counts_of(trusted: DataFrame, path: str) -> DataFrame:
         own, size, seen = pieces(path), 0, []
 
         def flush() -> pa.RecordBatch:
-            before, flat, _ = bigrams(seen, own.start)
+            before, flat = bigrams(seen, own.start)[:2]
             keys = before.astype(np.uint32)
             keys <<= 16
             keys |= flat
@@ -201,8 +203,8 @@ class Model:
         self.log_piece, self.log_back = np.log(p), np.zeros(symbols)
         for r in contexts:
             self.log_back[r.h] = np.log(r.cut / r.total)
-        of_context = F.broadcast(spark.createDataFrame([(r.h, r.total, r.cut / r.total) for r in contexts], "h long, total long, back double"))
-        of_piece = F.broadcast(spark.createDataFrame([(w, float(p[w])) for w in follow], "w long, p double"))
+        of_context = F.broadcast(local_table(spark, [(r.h, r.total, r.cut / r.total) for r in contexts], h=pa.int64(), total=pa.int64(), back=pa.float64()))
+        of_piece = F.broadcast(local_table(spark, [(w, float(p[w])) for w in follow], w=pa.int64(), p=pa.float64()))
         joined = counts.select("key", "n", context, piece).join(of_context, "h").join(of_piece, "w")
         below = F.col("back") * F.col("p")
         self.weights = joined.select("key", "n", F.log1p((F.col("n") - cut) / F.col("total") / below).alias("weight"))
@@ -223,37 +225,51 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32).astype(np.int64)
 
 
+def runs_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of neighbours whose sizes add up to about ``most``, or that are one larger one."""
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // most)) + 1
+    yield from pairwise([0, *cuts.tolist(), len(sizes)])
+
+
 def block_of(texts: list[np.ndarray], model: dict, shards: int) -> tuple[np.ndarray, list[tuple[int, bytes]]]:
-    """The part of each text's score that the workers know, and for each shard the other n-grams of the texts."""
+    """The part of each text's score that the workers know, and for each shard the other n-grams of the texts. Sums are taken in the order of places and of n-grams, however the block is cut into runs."""
     before, flat, of = bigrams(texts, model["start"])
-    weights = model["log_piece"][flat]
-    weights += model["log_back"][before]
-    local = np.bincount(of, weights=weights, minlength=len(texts))
-    del weights
-    entries = before.astype(np.int64)
-    for array, bits in ((flat, 16), (of, 24)):
-        entries <<= bits
-        entries |= array
-    del before, flat, of, array
-    entries, times = counted(entries)
-    of = (entries & 0xFFFFFF).astype(np.uint32)
-    entries >>= 24
-    key, heads = entries, model["heads"]
-    at = np.minimum(np.searchsorted(heads, key), max(0, len(heads) - 1))
-    head = heads[at] == key if len(heads) else np.zeros(len(key), bool)
-    local += np.bincount(of[head], weights=model["head_weights"][at[head]] * times[head], minlength=len(texts))
-    del at
-    key, of, times = key[~head], of[~head], times[~head]
-    del entries, head
-    shard = shard_of(key, shards)
+    local, known, contexts = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(1 << 16, np.int64)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(np.r_[0, lengths])
+    for a, b in runs_of(lengths, RUN_PIECES):
+        run = slice(ends[a], ends[b])
+        weights = model["log_piece"][flat[run]]
+        weights += model["log_back"][before[run]]
+        local[a:b] = np.bincount(of[run] - np.uint32(a), weights=weights, minlength=b - a)
+        contexts += np.bincount(before[run], minlength=1 << 16)
+    heads, rest = model["heads"], []
+    for a, b in runs_of(contexts, RUN_PIECES):
+        places = np.flatnonzero((before >= a) & (before <= b - 1))
+        entries = before[places].astype(np.int64)
+        for array, bits in ((flat, 16), (of, 24)):
+            entries <<= bits
+            entries |= array[places]
+        entries, times = counted(entries)
+        of_text = (entries & 0xFFFFFF).astype(np.uint32)
+        entries >>= 24
+        at = np.minimum(np.searchsorted(heads, entries), max(0, len(heads) - 1))
+        head = heads[at] == entries if len(heads) else np.zeros(len(entries), bool)
+        np.add.at(known, of_text[head], model["head_weights"][at[head]] * times[head])
+        shard = shard_of(entries[~head], shards)
+        rest.append([x.astype(np.uint32) for x in (shard, entries[~head], of_text[~head], times[~head])])
+    local += known
+    del before, flat, of
+    shard, key, of, times = map(np.concatenate, zip(*rest, strict=True))
+    del rest
     order = np.argsort(shard, kind="stable")
-    key, of, times, shard = key[order], of[order], times[order], shard[order]
-    bounds = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)] if len(shard) else np.zeros(1, int)
+    bounds = np.searchsorted(shard, np.arange(shards + 1), sorter=order)
     out = []
-    for a, b in pairwise(bounds):
-        distinct, first = np.unique(key[a:b], return_index=True)
-        sizes = np.diff(np.r_[first, b - a])
-        out.append((int(shard[a]), packed([len(distinct)], np.diff(distinct, prepend=0), sizes, of[a:b], times[a:b])))
+    for k in np.flatnonzero(np.diff(bounds)):
+        own = order[bounds[k] : bounds[k + 1]]
+        distinct, first = np.unique(key[own], return_index=True)
+        sizes = np.diff(np.r_[first, len(own)])
+        out.append((int(k), packed([len(distinct)], np.diff(distinct, prepend=0), sizes, of[own], times[own])))
     return local, out
 
 

@@ -172,3 +172,54 @@ def test_workers_forget_words(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert sum(r.n for r in spark.range(64, numPartitions=64).mapInArrow(held, "n long").collect()) == 0
+
+
+def test_a_block_is_worked_in_runs(monkeypatch):
+    import tracemalloc
+
+    rnd = np.random.default_rng(6)
+    texts = [rnd.integers(0, 500, n).astype(np.uint16) for n in (0, 400_000, *[2000] * 300, 1, 0)]
+    heads = (np.arange(500)[:, None] << 16 | np.arange(500)).ravel()
+    model = {"start": 65_535, "log_piece": rnd.normal(size=1 << 16), "log_back": rnd.normal(size=1 << 16), "heads": heads[::2], "head_weights": rnd.normal(size=len(heads[::2]))}
+    monkeypatch.setattr(q, "packed", lambda *a: [np.asarray(x).tolist() for x in a])
+    few = [t[:3000] for t in texts[:5]]
+    whole = q.block_of(few, model, 5)
+    monkeypatch.setattr(q, "RUN_PIECES", 100, raising=False)
+    cut = q.block_of(few, model, 5)
+    assert (whole[0] == cut[0]).all() and whole[1] == cut[1]  # to the last bit
+    monkeypatch.undo()
+    for known, most in ((heads[::50], 40), (heads, 28)):  # hardly any n-gram is known to the workers, and nearly all are
+        own = model | {"heads": known, "head_weights": np.ones(len(known))}
+        tracemalloc.start()
+        q.block_of(texts, own, 33)
+        peak = tracemalloc.get_traced_memory()[1] / sum(map(len, texts))
+        tracemalloc.stop()
+        assert peak < most, peak  # bytes a place
+
+
+def test_model_starts_no_processes_for_rows_of_the_driver(spark, monkeypatch):
+    counts = spark.createDataFrame([(1 << 16 | 2, 3), (2 << 16 | 1, 1)], "key long, n long")
+    create = type(spark).createDataFrame
+
+    def by_arrow(self, data, *args, **kwargs):
+        assert isinstance(data, pa.Table)
+        return create(self, data, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark), "createDataFrame", by_arrow)
+    assert {r.key for r in q.Model(counts, 5).weights.collect()} == {1 << 16 | 2, 2 << 16 | 1}
+    assert q.Model(counts.limit(0), 5).weights.count() == 0
+
+
+def test_workers_give_memory_back(monkeypatch):
+    from types import SimpleNamespace
+
+    from palimpsest.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "settings", lambda spark: None)
+    monkeypatch.setattr(common, "give_back", lambda: seen.append("given back"))
+    df = SimpleNamespace(sparkSession=None, mapInArrow=lambda function, schema: function)
+    run = common.map_batches(df, lambda batches: (seen.append(b) or b for b in batches), "n long")
+    assert list(run([1, 2])) == [1, 2] and seen == [1, 2, "given back"]
+    monkeypatch.undo()
+    common.give_back()
