@@ -104,12 +104,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def local_table(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
-    """Rows of the driver as a DataFrame. They go by Arrow: createDataFrame() of a list starts Python processes of its own on every executor, which stay."""
-    columns = zip(*rows, strict=True) if rows else [()] * len(types)
-    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types)))
-
-
 def give_back() -> None:
     """Return to the system what this process has freed: a worker lives on after its task, and other stages need the memory."""
     pa.default_memory_pool().release_unused()

@@ -47,7 +47,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import local_table, map_batches, materialise, reread, sized
+from palimpsest.llm.common import map_batches, materialise, reread, sized
 
 #: Splits a word into runs of letters, digits and marks, before the merges; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -185,26 +185,29 @@ class Model:
     """Logarithms: of the probability of each piece and the back-off weight of each context (arrays), and key, n, weight of each known bigram (weights, a DataFrame)."""
 
     def __init__(self, counts: DataFrame, symbols: int):
-        spark = counts.sparkSession
         context, piece = F.shiftright("key", 16).alias("h"), F.col("key").bitwiseAND(0xFFFF).alias("w")
         of_count = {r.n: r["count"] for r in counts.where("n <= 4").groupBy("n").count().collect()}
         d = discounts(of_count)
         # one row for each piece of the vocabulary at most
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        contexts = counts.groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut")).collect()
-        follow = {r.w: r.a for r in counts.groupBy(piece).agg(F.count("*").alias("a")).collect()}
+        by_context = materialise(counts.groupBy(context).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut")))
+        by_piece = materialise(counts.groupBy(piece).agg(F.count("*").alias("a")))
+        contexts, follow = by_context.collect(), {r.w: r.a for r in by_piece.collect()}
         self.total = sum(r.total for r in contexts)
         a = np.zeros(symbols)
         a[list(follow)] = list(follow.values())
         e = discounts({i: int((a == i).sum()) for i in range(1, 5)})
         taken = np.select([a == 0, a == 1, a == 2], [0.0, e[0], e[1]], e[2])
         every = max(1.0, a.sum())
-        p = (a - taken) / every + (taken.sum() / every if self.total else 1.0) / (symbols - 1)  # all but the start
+        unseen = (taken.sum() / every if self.total else 1.0) / (symbols - 1)  # all but the start
+        p = (a - taken) / every + unseen
         self.log_piece, self.log_back = np.log(p), np.zeros(symbols)
         for r in contexts:
             self.log_back[r.h] = np.log(r.cut / r.total)
-        of_context = F.broadcast(local_table(spark, [(r.h, r.total, r.cut / r.total) for r in contexts], h=pa.int64(), total=pa.int64(), back=pa.float64()))
-        of_piece = F.broadcast(local_table(spark, [(w, float(p[w])) for w in follow], w=pa.int64(), p=pa.float64()))
+        # from the tables, as createDataFrame() of a list starts Python processes of its own on every executor, which stay
+        taken_of = F.when(F.col("a") == 1, e[0]).when(F.col("a") == 2, e[1]).otherwise(e[2])
+        of_context = F.broadcast(by_context.select("h", "total", (F.col("cut") / F.col("total")).alias("back")))
+        of_piece = F.broadcast(by_piece.select("w", ((F.col("a") - taken_of) / F.lit(float(every)) + F.lit(float(unseen))).alias("p")))
         joined = counts.select("key", "n", context, piece).join(of_context, "h").join(of_piece, "w")
         below = F.col("back") * F.col("p")
         self.weights = joined.select("key", "n", F.log1p((F.col("n") - cut) / F.col("total") / below).alias("weight"))
